@@ -32,11 +32,9 @@ def strip(c: Column) -> Column:
 
 
 def normalize_level(c: Column) -> Column:
-    up = F.upper(strip(c))
-    out = F.when(up.isin(LEVELS), up)
-    for alias, level in LEVEL_ALIASES.items():
-        out = out.when(up == alias, F.lit(level))
-    return out.otherwise(F.lit(DEFAULT_LEVEL))
+    known = {**{level: level for level in LEVELS}, **LEVEL_ALIASES}
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.upper(strip(c))), F.lit(DEFAULT_LEVEL))
 
 
 def detect_level(c: Column) -> Column:

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 SLICE_US = 60_000_000
 
 
-def slice_of(c: Column, width: int = SLICE_US) -> Column:
-    return F.floor(c / F.lit(width)).cast("long") if width > 1 else c
+def slice_of(c: Column, width: float = SLICE_US) -> Column:
+    return F.floor(c / F.lit(width)).cast("long")
 
 
 def running(

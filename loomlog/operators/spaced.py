@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from loomlog.operators.slices import SLICE_US, counts_at
 from loomlog.session import checkpointed
 
-FOLD_MAX = 20_000
+FOLD_MAX = 1_000_000  # times of one group in an array: 8 MB
+TAKEN_MAX = 20_000  # times taken of one group, as the fold copies its result at each take
 
 
 def spaced(
@@ -28,8 +29,10 @@ def spaced(
 ) -> DataFrame:
     """The (keys, at) that are taken. ``gap`` is one value per group; (keys, at) is unique."""
     points = checkpointed(points.select(*keys, at, F.greatest(F.col(gap), F.lit(1)).alias("_gap")))
-    largest = points.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    if largest is None or largest <= fold_max:
+    taken = F.least(F.count("*"), F.floor((F.max(at) - F.min(at)) / F.max("_gap")) + 1)
+    sizes = points.groupBy(*keys).agg(F.count("*").alias("n"), taken.alias("taken"))
+    n, taken = sizes.agg(F.max("n"), F.max("taken")).first()
+    if n is None or (n <= fold_max and taken <= TAKEN_MAX):
         return _fold(points, keys, at)
     return _doubling(points, keys, at, width)
 

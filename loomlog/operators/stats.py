@@ -42,12 +42,11 @@ def stats(logs: DataFrame) -> DataFrame:
     return stats_from_cells(cell_counts(logs))
 
 
-def stats_maps(logs: DataFrame, max_services: int = 10_000) -> DataFrame:
-    """One row per tenant: total, by_level, by_service. The service map holds the largest
-    ``max_services`` entries, as a map must fit a row; the long form of stats() has them all."""
-    long = stats(logs)
+def stats_maps(logs: DataFrame, top: int = TOP_TERMS) -> DataFrame:
+    """One row per tenant: total, by_level, by_service, each map with its ``top`` largest
+    entries. stats() has all of them, as rows."""
     rank = Window.partitionBy("tenant", "dimension").orderBy(F.desc("n"), "key")
-    kept = long.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= max_services)
+    kept = stats(logs).withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= top)
 
     def as_map(dimension: str):
         entry = F.when(F.col("dimension") == dimension, F.struct("key", "n"))

@@ -61,9 +61,7 @@ class LogStore:
 
     def read(self, tenant: str | None = None, since: date | None = None, until: date | None = None) -> DataFrame:
         """The table, or the part of one tenant and a range of days (both ends included)."""
-        if not self.exists():
-            return self.spark.createDataFrame([], STORE_SCHEMA)
-        rows = self.spark.read.schema(STORE_SCHEMA).parquet(self.path)
+        rows = self._scan(self.spark)
         if tenant is not None:
             rows = rows.where(F.col("tenant") == tenant)
         if since is not None:
@@ -72,6 +70,11 @@ class LogStore:
             rows = rows.where(F.col("day") <= F.lit(until))
         return rows
 
+    def _scan(self, spark: SparkSession) -> DataFrame:
+        if not self.exists():
+            return spark.createDataFrame([], STORE_SCHEMA)
+        return spark.read.schema(STORE_SCHEMA).parquet(self.path)
+
     def write(self, logs: DataFrame) -> WriteResult:
         """Add the events that are not stored yet. Writing the same events again adds none,
         so a job that failed half way is simply run again."""
@@ -90,7 +93,8 @@ class LogStore:
             return WriteResult(0, 0)
         fresh = dedupe(rows)
         if self.exists():
-            known = self.read().where(_in_spans(spans)).select("doc_id")
+            # the batch's own session, which in a stream is not the store's
+            known = self._scan(logs.sparkSession).where(_in_spans(spans)).select("doc_id")
             fresh = fresh.join(known, "doc_id", "left_anti")
         seen = Observation()
         (

@@ -59,7 +59,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Hint a broadcast only after counting; a larger side is left to Spark's own choice."""
-    if df.limit(max_rows + 1).count() <= max_rows:
+    if len(df.select(F.lit(1)).take(max_rows + 1)) <= max_rows:
         return F.broadcast(df)
     return df
 

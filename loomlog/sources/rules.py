@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ def parse_rules(df: DataFrame, raw: str = "raw", keep: tuple[str, ...] = ()) ->
 def load_rules(spark: SparkSession, raw: str) -> DataFrame:
     """The rules of one configuration text. Names must differ, as state is kept by name."""
     rules = parse_rules(spark.sql("select :raw as raw", args={"raw": raw}))
-    twice = rules.groupBy("name").count().where("count > 1").select("name").take(1)
-    if twice:
-        raise ValueError(f"two rules are named {twice[0].name!r}")
+    names = Counter(r.name for r in rules.collect())  # no more than the given text holds
+    if names and max(names.values()) > 1:
+        raise ValueError(f"several rules are named {names.most_common(1)[0][0]!r}")
     return rules
