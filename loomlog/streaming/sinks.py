@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomlog.functions.events import encode_event
 from loomlog.operators.alerts import ALERT_COLUMNS, alert_id, notification
+from loomlog.schema import ALERT_SCHEMA
 from loomlog.session import path_exists
 
+_ALERT_TABLE = T.StructType([*ALERT_SCHEMA.fields, T.StructField("alert_id", T.StringType())])
+
 
 def publish(logs: DataFrame, target: str, fmt: str = "text", **options: str) -> None:
     """Write events as wire text: to a directory, or with fmt="kafka" to topic ``target``."""
@@ -31,7 +35,7 @@ def dead_letter(rejected: DataFrame, path: str, batch_id: int) -> None:
     )
 
 
-def read_dead_letters(spark, path: str) -> DataFrame:
+def read_dead_letters(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("raw string, reason string, batch_id bigint").json(f"{path}/batch=*")
 
 
@@ -39,10 +43,14 @@ def append_alerts(alerts: DataFrame, path: str) -> DataFrame:
     """Append the alerts the table lacks, by id, and return all alerts with their id."""
     rows = alerts.select(*ALERT_COLUMNS, alert_id().alias("alert_id")).dropDuplicates(["alert_id"])
     if path_exists(alerts.sparkSession, path):
-        held = alerts.sparkSession.read.parquet(path).select("alert_id")
+        held = read_alerts(alerts.sparkSession, path).select("alert_id")
         rows = rows.join(held, "alert_id", "left_anti").select(*rows.columns)
     rows.write.mode("append").parquet(path)
-    return alerts.sparkSession.read.parquet(path)
+    return read_alerts(alerts.sparkSession, path)
+
+
+def read_alerts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_ALERT_TABLE).parquet(path)
 
 
 def notify(alerts: DataFrame, path: str, batch_id: int, send: Callable[[DataFrame], None] | None = None) -> None:

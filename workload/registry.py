@@ -839,7 +839,7 @@ def stream_alerts(spark, sf):
     stream_alerts_.alert_stream(
         _with_end(spark, sf), t.rules(spark), f"{folder}/alerts", f"{folder}/offsets", once=True
     ).awaitTermination()
-    return spark.read.parquet(f"{folder}/alerts").where(F.col("timestamp") < F.lit(FAR).cast("timestamp")).select(*alert_cols())
+    return sinks.read_alerts(spark, f"{folder}/alerts").where(F.col("timestamp") < F.lit(FAR).cast("timestamp")).select(*alert_cols())
 
 
 @query("stream_dedupe", sql("select doc_id from ids"))
