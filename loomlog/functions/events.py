@@ -2,63 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.functions.text import normalize_level
-from loomlog.functions.times import from_epoch, parse_ts_or_epoch
-from loomlog.schema import DEFAULT_SERVICE, DEFAULT_TENANT
-
-
-def _kind(v: Column, field: str) -> Column:
-    # NULL if the key is absent, VOID if it holds a JSON null
-    return F.schema_of_variant(F.variant_get(v, f"$.{field}", "variant"))
-
-
-def _text(v: Column, field: str) -> Column:
-    return F.try_variant_get(v, f"$.{field}", "string")
-
-
-def is_object(v: Column) -> Column:
-    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
-
-
-def _timestamp(v: Column) -> Column:
-    kind = _kind(v, "timestamp")
-    number = (kind == "BIGINT") | (kind == "DOUBLE") | F.startswith(kind, F.lit("DECIMAL"))
-    return F.when(kind == "STRING", parse_ts_or_epoch(_text(v, "timestamp"))).when(
-        number, from_epoch(F.try_variant_get(v, "$.timestamp", "decimal(38,9)"))
+from loomlog.functions.times import from_epoch, parse_ts
+from loomlog.schema import LOG_COLUMNS
+
+_TEXTS = ["level", "service", "message", "tenant"]
+_OPENED = "struct<" + ",".join(f"{name}:variant" for name in LOG_COLUMNS) + ">"
+
+
+def open_events(df: DataFrame, v: str, keep: list[str], empty_message_ok: bool) -> DataFrame:
+    """(keep…, reason, the log columns as found in the VARIANT column ``v``).
+
+    ``reason`` names the first thing that breaks the event schema and is NULL for a valid
+    event; a column is NULL where the event lacks it. Done in steps, each a projection of its
+    own, so that no value is taken out of the VARIANT twice.
+    """
+    # one pass over the object; NULL if it is none. A field is NULL if absent, VOID if null
+    opened = df.select(*keep, F.col(v).isNull().alias("_none"), F.try_variant_get(v, "$", _OPENED).alias("_x"))
+    taken = opened.select(
+        *keep,
+        "_none",
+        F.col("_x").isNull().alias("_other"),
+        *[F.schema_of_variant(f"_x.{c}").alias(f"_kind_{c}") for c in [*_TEXTS, "timestamp"]],
+        *[F.try_variant_get(f"_x.{c}", "$", "string").alias(c) for c in _TEXTS],
+        F.to_json("_x.attrs").alias("attrs"),
+        F.try_variant_get("_x.timestamp", "$", "string").alias("_time_text"),
+        F.try_variant_get("_x.timestamp", "$", "decimal(38,9)").alias("_time_number"),
     )
+    number = F.col("_time_number")
+    when = F.when(F.col("_kind_timestamp") == "BOOLEAN", None).otherwise(
+        F.when(number.isNotNull(), from_epoch(number)).otherwise(parse_ts(F.col("_time_text")))
+    )
+    timed = taken.withColumn("timestamp", when)
+    return timed.select(*keep, _reason(empty_message_ok).alias("reason"), *LOG_COLUMNS)
 
 
-def reject_reason(v: Column, empty_message_ok: bool) -> Column:
-    """The first field that breaks the event schema, NULL for a valid event."""
-
-    def string_or_absent(field: str) -> Column:
-        return F.coalesce(_kind(v, field), F.lit("STRING")) == "STRING"
-
-    message = F.coalesce(_kind(v, "message") == "STRING", F.lit(False))
+def _reason(empty_message_ok: bool) -> Column:
+    message = F.coalesce(F.col("_kind_message") == "STRING", F.lit(False))
     if not empty_message_ok:
-        message = message & (_text(v, "message") != "")
-    attrs = F.startswith(F.coalesce(_kind(v, "attrs"), F.lit("OBJECT")), F.lit("OBJECT"))
-    time_ok = _kind(v, "timestamp").isNull() | _timestamp(v).isNotNull()
-    reason = F.when(v.isNull(), "not_json").when(~is_object(v), "not_an_object").when(~message, "message")
-    for field in ("level", "service", "tenant"):
-        reason = reason.when(~string_or_absent(field), field)
-    return reason.when(~attrs, "attrs").when(~time_ok, "timestamp")
-
-
-def event_columns(v: Column, ingest_time: Column, default_service: Column | None = None) -> list[Column]:
-    """The six log columns of a valid event, with defaults for absent keys."""
-    service = F.lit(DEFAULT_SERVICE) if default_service is None else default_service
-    return [
-        F.coalesce(_timestamp(v), ingest_time).alias("timestamp"),
-        normalize_level(F.coalesce(_text(v, "level"), F.lit(""))).alias("level"),
-        F.coalesce(_text(v, "service"), service).alias("service"),
-        _text(v, "message").alias("message"),
-        F.coalesce(F.to_json(F.variant_get(v, "$.attrs", "variant")), F.lit("{}")).alias("attrs"),
-        F.coalesce(_text(v, "tenant"), F.lit(DEFAULT_TENANT)).alias("tenant"),
-    ]
+        message = message & (F.col("message") != "")
+    reason = F.when(F.col("_none"), "not_json").when(F.col("_other"), "not_an_object").when(~message, "message")
+    for c in ("level", "service", "tenant"):
+        reason = reason.when(F.col(f"_kind_{c}") != "STRING", c)
+    return reason.when(~F.startswith("attrs", F.lit("{")), "attrs").when(
+        F.col("_kind_timestamp").isNotNull() & F.col("timestamp").isNull(), "timestamp"
+    )
 
 
 # JSON writers print milliseconds unless told otherwise.

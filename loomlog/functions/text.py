@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 
 # Whole-word keywords. The boundary is spelled out because \b changed meaning between JDKs.
 _KEYWORD = (
-    r"(?i)(?<![\p{L}\p{N}_])"
+    r"(?i)(?=[DIWECF])(?<![\p{L}\p{N}_])"  # the first letter is the cheapest test
     r"(DEBUG|INFO|WARNING|WARN|ERROR|ERR|CRITICAL|FATAL)"
     r"(?![\p{L}\p{N}_])"
 )
@@ -37,9 +38,20 @@ def normalize_level(c: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.upper(strip(c))), F.lit(DEFAULT_LEVEL))
 
 
+def level_word(c: Column) -> Column:
+    """The first level keyword of the text, empty if there is none."""
+    return F.regexp_extract(c, _KEYWORD, 1)
+
+
 def detect_level(c: Column) -> Column:
     """Level of the first keyword in the text, INFO if there is none."""
-    return normalize_level(F.regexp_extract(c, _KEYWORD, 1))
+    return normalize_level(level_word(c))
+
+
+def lines(c: Column) -> Column:
+    """The lines of a text, whatever ends them; texts with plain newlines skip the regex."""
+    unusual = [F.contains(c, F.lit(mark)) for mark in "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"]
+    return F.when(reduce(Column.__or__, unusual), F.split(c, LINE_BREAK)).otherwise(F.split(c, "\n"))
 
 
 def blank(c: Column) -> Column:

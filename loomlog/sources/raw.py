@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.functions.events import event_columns, reject_reason
-from loomlog.functions.text import LINE_BREAK, blank, detect_level, strip
-from loomlog.schema import DEFAULT_SERVICE, DEFAULT_TENANT, LOG_COLUMNS
+from loomlog.functions.events import open_events
+from loomlog.functions.text import blank, level_word, lines, normalize_level, strip
+from loomlog.schema import DEFAULT_SERVICE, DEFAULT_TENANT
 
 
 def split_bodies(df: DataFrame, body: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """(keep…, pos, value): the non-blank lines of each body, with their place in it."""
-    text = F.make_valid_utf8(F.col(body))
+    valid = df.select(*keep, F.make_valid_utf8(F.col(body)).alias("_body"))
     return (
-        df.select(*keep, F.posexplode(F.split(text, LINE_BREAK)).alias("pos", "value"))
+        valid.select(*keep, F.posexplode(lines(F.col("_body"))).alias("pos", "value"))
         .where(~blank(F.col("value")))
     )
 
@@ -45,21 +45,16 @@ def parse_lines(
         # plain lines skip the JSON parser altogether
         F.when(F.startswith(text, F.lit("{")), F.try_parse_json(text)).alias("_v"),
     )
-    v = F.col("_v")
-    as_json = dict(zip(LOG_COLUMNS, event_columns(v, F.col("_now"), F.col("_service"))))
-    as_text = {
-        "timestamp": F.col("_now"),
-        "level": detect_level(F.col("_text")),
-        "service": F.col("_service"),
-        "message": F.col("_text"),
-        "attrs": F.lit("{}"),
-        "tenant": F.col("_tenant"),
-    }
-    if tenant is not None:
-        as_json["tenant"] = F.col("_tenant")
-    marked = staged.withColumn(
-        "_json", v.isNotNull() & reject_reason(v, empty_message_ok=False).isNull()
-    )
-    return marked.select(
-        *keep, *[F.when(F.col("_json"), as_json[c]).otherwise(as_text[c]).alias(c) for c in LOG_COLUMNS]
+    opened = open_events(staged, "_v", [*keep, "_text", "_now", "_service", "_tenant"], empty_message_ok=False)
+    is_json = F.col("reason").isNull()
+    word = F.when(is_json, F.coalesce("level", F.lit(""))).otherwise(level_word(F.col("_text")))
+    claimed = F.coalesce("tenant", "_tenant") if tenant is None else F.col("_tenant")
+    return opened.select(
+        *keep,
+        F.when(is_json, F.coalesce("timestamp", "_now")).otherwise(F.col("_now")).alias("timestamp"),
+        normalize_level(word).alias("level"),
+        F.when(is_json, F.coalesce("service", "_service")).otherwise(F.col("_service")).alias("service"),
+        F.when(is_json, F.col("message")).otherwise(F.col("_text")).alias("message"),
+        F.when(is_json, F.coalesce("attrs", F.lit("{}"))).otherwise(F.lit("{}")).alias("attrs"),
+        F.when(is_json, claimed).otherwise(F.col("_tenant")).alias("tenant"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.functions.events import event_columns, reject_reason
+from loomlog.functions.events import open_events
 from loomlog.functions.text import normalize_level
 from loomlog.schema import DEFAULT_SERVICE, DEFAULT_TENANT, LOG_COLUMNS, MAX_BODY_BYTES
 
@@ -16,32 +16,32 @@ def check_payloads(
     ingest_time: Column | None = None,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per event: the log columns, ``raw`` text, and ``reason`` (NULL if accepted).
+    """One row per event: the log columns, or ``raw`` text and ``reason`` for a rejected one.
 
     A bad element costs only itself, not its whole payload.
     """
     now = F.current_timestamp() if ingest_time is None else ingest_time
-    v = F.try_parse_json(payload)
-    is_list = F.startswith(F.schema_of_variant("_v"), F.lit("ARRAY"))
-    items = df.select(*keep, F.col(payload).alias("_payload"), now.alias("_now"), v.alias("_v")).select(
-        *keep,
-        "_payload",
-        "_now",
-        F.explode(
-            F.when(is_list, F.col("_v").cast("array<variant>")).otherwise(F.array("_v"))
-        ).alias("_item"),
+    parsed = df.select(
+        *keep, F.col(payload).alias("_payload"), now.alias("_now"), F.try_parse_json(payload).alias("_v")
     )
-    item = F.col("_item")
-    reason = reject_reason(item, empty_message_ok=True)
-    checked = items.select(
+    elements = F.coalesce(F.try_variant_get("_v", "$", "array<variant>"), F.array("_v"))
+    items = parsed.select(*keep, "_payload", "_now", F.explode(elements).alias("_item"))
+    opened = open_events(items, "_item", [*keep, "_payload", "_now", "_item"], empty_message_ok=True)
+    accepted = F.col("reason").isNull()
+    event = {
+        "timestamp": F.coalesce("timestamp", "_now"),
+        "level": normalize_level(F.coalesce("level", F.lit(""))),
+        "service": F.coalesce("service", F.lit(DEFAULT_SERVICE)),
+        "message": F.col("message"),
+        "attrs": F.coalesce("attrs", F.lit("{}")),
+        "tenant": F.coalesce("tenant", F.lit(DEFAULT_TENANT)),
+    }
+    return opened.select(
         *keep,
-        F.coalesce(F.to_json(item), F.col("_payload")).alias("raw"),
-        reason.alias("reason"),
-        *event_columns(item, F.col("_now")),
-    )
-    # a rejected row has no event: blank the columns instead of showing half-parsed values
-    return checked.select(
-        *keep, "raw", "reason", *[F.when(F.col("reason").isNull(), F.col(c)).alias(c) for c in LOG_COLUMNS]
+        F.when(~accepted, F.coalesce(F.to_json("_item"), "_payload")).alias("raw"),
+        "reason",
+        # a rejected row has no event: blank columns instead of half-parsed values
+        *[F.when(accepted, value).alias(c) for c, value in event.items()],
     )
 
 
