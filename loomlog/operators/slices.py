@@ -37,18 +37,20 @@ def running(
     a slice. ``inclusive=False`` leaves the row itself out; NULL where nothing precedes.
     """
     df = df.withColumn("_value", value)
-    at = Window.partitionBy(*keys, slice_col).orderBy(*order)
+    # the slice number first: rows are then mostly put in order by one long, not by key text
+    cell = [slice_col, *keys]
+    at = Window.partitionBy(*cell).orderBy(*order)
     upto = at.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     inside = df.withColumn("_inside", fold(F.col("_value")).over(upto))
     earlier = Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
     before = (
-        df.groupBy(*keys, slice_col)
+        df.groupBy(*cell)
         .agg(fold(F.col("_value")).alias("_total"))
-        .select(*keys, slice_col, fold(F.col("_total")).over(earlier).alias("_before"))
+        .select(*cell, fold(F.col("_total")).over(earlier).alias("_before"))
     )
     a, b = F.col("_before"), F.col("_inside")
     both = a + b if fold is F.sum else F.greatest(a, b)
-    joined = inside.join(before, [*keys, slice_col])
+    joined = inside.join(before, cell)
     return joined.withColumn(out, F.coalesce(both, a, b)).drop("_value", "_inside", "_before")
 
 

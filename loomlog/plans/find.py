@@ -24,7 +24,7 @@ def newest(
         return s.search(store.read(tenant, since=since), tenant, q, level, service, mode)
 
     limit = min(max(limit, 0), s.MAX_PAGE)
-    days = sorted({day for owner, day, _ in store.day_folders() if owner == tenant}, reverse=True)
+    days = sorted({day for _, day, _ in store.day_folders(tenant)}, reverse=True)
     span = 1
     while limit and span < len(days):
         recent = hits(days[span - 1])

@@ -60,8 +60,9 @@ class LogStore:
         return path_exists(self.spark, self.path)
 
     def read(self, tenant: str | None = None, since: date | None = None, until: date | None = None) -> DataFrame:
-        """The table, or the part of one tenant and a range of days (both ends included)."""
-        rows = self._scan(self.spark)
+        """The table, or the part of one tenant and a range of days (both ends included).
+        For one tenant only that tenant's folders are listed."""
+        rows = self._scan(self.spark, "" if tenant is None else f"/{self._tenant_folder(tenant)}")
         if tenant is not None:
             rows = rows.where(F.col("tenant") == tenant)
         if since is not None:
@@ -70,10 +71,16 @@ class LogStore:
             rows = rows.where(F.col("day") <= F.lit(until))
         return rows
 
-    def _scan(self, spark: SparkSession) -> DataFrame:
-        if not self.exists():
+    def _scan(self, spark: SparkSession, part: str = "") -> DataFrame:
+        if not path_exists(spark, self.path + part):
             return spark.createDataFrame([], STORE_SCHEMA)
-        return spark.read.schema(STORE_SCHEMA).parquet(self.path)
+        return spark.read.schema(STORE_SCHEMA).option("basePath", self.path).parquet(self.path + part)
+
+    def _tenant_folder(self, tenant: str) -> str:
+        return f"tenant={self._names().escapePathName(tenant)}"
+
+    def _names(self):
+        return self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
 
     def write(self, logs: DataFrame) -> WriteResult:
         """Add the events that are not stored yet. Writing the same events again adds none,
@@ -110,22 +117,22 @@ class LogStore:
         )
         return WriteResult(received, seen.get["new"])
 
-    def day_folders(self) -> list[tuple[str, date, str]]:
+    def day_folders(self, tenant: str | None = None) -> list[tuple[str, date, str]]:
         """(tenant, day, path) of every partition, from folder names alone."""
         if not self.exists():
             return []
-        unescape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
-        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/tenant=*/day=*")
+        owner = "tenant=*" if tenant is None else self._tenant_folder(tenant)
+        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{owner}/day=*")
         fs = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration())
         out = []
         for status in fs.globStatus(pattern):
             folder = status.getPath()
-            tenant = unescape(folder.getParent().getName().split("=", 1)[1])
+            name = self._names().unescapePathName(folder.getParent().getName().split("=", 1)[1])
             try:
                 day = date.fromisoformat(folder.getName().split("=", 1)[1])
             except ValueError:
                 continue
-            out.append((tenant, day, folder.toString()))
+            out.append((name, day, folder.toString()))
         return out
 
     def drop_folders(self, folders: list[str]) -> None:

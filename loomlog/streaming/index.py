@@ -33,7 +33,8 @@ def index_batch(
     storable = F.col("timestamp").isNotNull() & F.col("message").isNotNull()
     bad = batch.where(~storable)
     if dead_letters and not bad.isEmpty():
-        dead_letter(bad.select(encode_event().alias("raw"), F.lit("incomplete").alias("reason")), dead_letters, 2 * batch_id)
+        rows = bad.select(encode_event().alias("raw"), F.lit("incomplete").alias("reason"))
+        dead_letter(rows, dead_letters, batch_id, "incomplete")
     for attempt in range(1, attempts + 1):
         try:
             return store.write(batch.where(storable)).new
@@ -43,7 +44,7 @@ def index_batch(
             elif dead_letters is None:
                 raise
     rest = batch.where(storable).select(encode_event().alias("raw"), F.lit("write_failed").alias("reason"))
-    dead_letter(rest, dead_letters, 2 * batch_id + 1)
+    dead_letter(rest, dead_letters, batch_id, "write_failed")
     return 0
 
 

@@ -25,13 +25,13 @@ def publish(logs: DataFrame, target: str, fmt: str = "text", **options: str) ->
         wire.write.mode("append").format(fmt).options(**options).save(target)
 
 
-def dead_letter(rejected: DataFrame, path: str, batch_id: int) -> None:
+def dead_letter(rejected: DataFrame, path: str, batch_id: int, part: str = "rejected") -> None:
     """(raw, reason) of one batch as JSON lines, in a folder of its own that a replay of the
     batch writes over."""
     (
         rejected.select("raw", "reason", F.lit(batch_id).cast("long").alias("batch_id"))
         .write.mode("overwrite")
-        .json(f"{path}/batch={batch_id}")
+        .json(f"{path}/batch={batch_id}-{part}")
     )
 
 

@@ -161,8 +161,10 @@ def with_days(df: DataFrame) -> DataFrame:
 
 
 def credentials_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, raw): one credential text per user; each fifth user has none."""
-    users = table(spark, sf_dir, "events").select("user_id").distinct().where("user_id % 5 != 0")
+    """(user_id, raw): one credential text per user; each fifth user's names no key."""
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
     uid = F.col("user_id").cast("string")
-    tenant = F.when(F.col("user_id") % 7 == 0, F.lit("Bad*")).otherwise(F.concat(F.lit("team-"), (F.col("user_id") % 4).cast("string")))
-    return users.select("user_id", F.concat(F.lit(" k"), uid, F.lit(": "), tenant, F.lit(" ,junk,:x,y:")).alias("raw"))
+    team = F.concat(F.lit("team-"), (F.col("user_id") % 4).cast("string"))
+    tenant = F.when(F.col("user_id") % 7 == 0, F.lit("Bad*")).otherwise(team)
+    key = F.when(F.col("user_id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit(" k"), uid))
+    return users.select("user_id", F.concat(key, F.lit(": "), tenant, F.lit(" ,junk,:x,y:")).alias("raw"))
