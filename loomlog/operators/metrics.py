@@ -10,8 +10,8 @@ from loomlog.operators.slices import running, slice_of
 
 EWMA_KEEP, EWMA_NEW = 0.6, 0.4
 RECEIVING_ABOVE = 1.0
-# short enough that the polls of one slice fit an array easily
-POLL_SLICE_S = 3600 * 3
+EWMA_CHUNK = 256
+POLL_SLICE_S = 3600
 
 
 def percentiles(samples: DataFrame, keys: list[str], value: str, ps: list[float]) -> DataFrame:
@@ -85,74 +85,68 @@ def ingest_rate(polls: DataFrame, key: str = "tenant", t: str = "t", total: str
 
 
 def ewma(
-    rates: DataFrame, key: str = "tenant", t: str = "t", x: str = "rate", slice_s: float = POLL_SLICE_S
+    rates: DataFrame, key: str = "tenant", t: str = "t", x: str = "rate", chunk: int = EWMA_CHUNK
 ) -> DataFrame:
     """(key, t, ewma, status) with r = 0.6·r + 0.4·x, started at the first x.
 
-    Each step is linear in r, so a slice of steps is a pair (a, b) meaning a·r + b. Slices
-    are folded apart, their pairs are chained (one per slice), and every step is then filled
-    in from the value its slice starts with.
+    Each step is a linear map r → a·r + b, and so is any run of steps. Steps are numbered and
+    cut into chunks, chunks are composed apart, and the chunks' maps are chained the same way,
+    level upon level, until one chunk per key is left. No task sees more than a chunk.
     """
-    step = F.struct(F.col(t).alias("t"), F.col(x).alias("x"))
-    per_slice = (
-        rates.where(F.col(x).isNotNull())
-        .withColumn("_slice", slice_of(F.col(t), slice_s))
-        .groupBy(key, "_slice")
-        .agg(F.sort_array(F.collect_list(step)).alias("_steps"))
+    known = rates.where(F.col(x).isNotNull()).select(key, t, x, slice_of(F.col(t), POLL_SLICE_S).alias("_slice"))
+    steps = running(known, [key], "_slice", [t], F.lit(1).cast("long"), "_n").select(
+        key,
+        t,
+        (F.col("_n") - 1).alias("_i"),
+        # the first step forgets what was before it
+        F.when(F.col("_n") == 1, 0.0).otherwise(EWMA_KEEP).alias("_a"),
+        F.when(F.col("_n") == 1, F.col(x)).otherwise(F.col(x) * EWMA_NEW).cast("double").alias("_b"),
     )
-
-    def advance(acc, s):
-        pair = F.struct(
-            (acc["a"] * EWMA_KEEP).alias("a"), (acc["b"] * EWMA_KEEP + s["x"] * EWMA_NEW).alias("b")
-        )
-        done = F.struct(s["t"].alias("t"), pair["a"].alias("a"), pair["b"].alias("b"))
-        return F.struct(
-            pair["a"].alias("a"), pair["b"].alias("b"), F.concat(acc["done"], F.array(done)).alias("done")
+    longest = steps.agg(F.max("_i")).first()[0] or 0
+    smooth = _chain(steps.select(key, "_i", "_a", "_b"), key, longest, chunk)
+    return (
+        steps.select(key, t, "_i")
+        .join(smooth, [key, "_i"])
+        .select(
+            key,
+            t,
+            F.round("_r", 6).alias("ewma"),
+            F.when(F.col("_r") > RECEIVING_ABOVE, "receiving").otherwise("idle").alias("status"),
         )
-
-    zero = F.struct(
-        F.lit(1.0).alias("a"),
-        F.lit(0.0).alias("b"),
-        F.array().cast("array<struct<t:double,a:double,b:double>>").alias("done"),
-    )
-    timed = per_slice.withColumn(
-        "_steps", F.transform("_steps", lambda s: F.struct(s["t"].cast("double").alias("t"), s["x"].alias("x")))
     )
-    folded = timed.withColumn("_f", F.aggregate("_steps", zero, advance))
 
-    def chain(acc, s):
-        r = F.coalesce(acc["r"], s["x0"])
-        entry = F.struct(s["slice"].alias("slice"), r.alias("r"))
+
+def _chain(maps: DataFrame, key: str, longest: int, chunk: int) -> DataFrame:
+    """(key, _i, _r): the value after each map, for maps numbered from 0 to ``longest``."""
+
+    def compose(acc, m):
+        both = F.struct(
+            m["_i"].alias("_i"),
+            (m["_a"] * acc["_a"]).alias("_a"),
+            (m["_a"] * acc["_b"] + m["_b"]).alias("_b"),
+        )
         return F.struct(
-            (s["a"] * r + s["b"]).alias("r"), F.concat(acc["starts"], F.array(entry)).alias("starts")
+            both["_a"].alias("_a"), both["_b"].alias("_b"), F.concat(acc["done"], F.array(both)).alias("done")
         )
 
-    summary = F.struct(
-        F.col("_slice").alias("slice"),
-        F.col("_f.a").alias("a"),
-        F.col("_f.b").alias("b"),
-        F.col("_steps")[0]["x"].alias("x0"),
-    )
-    begin = F.struct(
-        F.lit(None).cast("double").alias("r"),
-        F.array().cast("array<struct<slice:bigint,r:double>>").alias("starts"),
+    start = F.struct(
+        F.lit(1.0).alias("_a"),
+        F.lit(0.0).alias("_b"),
+        F.array().cast("array<struct<_i:bigint,_a:double,_b:double>>").alias("done"),
     )
-    starts = (
-        folded.groupBy(key)
-        .agg(F.sort_array(F.collect_list(summary)).alias("_s"))
-        .select(key, F.inline(F.aggregate("_s", begin, chain, lambda acc: acc["starts"])))
-        .withColumnsRenamed({"slice": "_slice", "r": "_r"})
+    folded = (
+        maps.groupBy(key, F.floor(F.col("_i") / chunk).cast("long").alias("_chunk"))
+        .agg(F.sort_array(F.collect_list(F.struct("_i", "_a", "_b"))).alias("_maps"))
+        .select(key, "_chunk", F.aggregate("_maps", start, compose).alias("_f"))
     )
-    value = F.col("a") * F.col("_r") + F.col("b")
-    return (
-        folded.select(key, "_slice", F.inline("_f.done"))
-        .join(starts, [key, "_slice"])
-        .select(
-            key,
-            F.col("t"),
-            F.round(value, 6).alias("ewma"),
-            F.when(value > RECEIVING_ABOVE, "receiving").otherwise("idle").alias("status"),
-        )
+    within = folded.select(key, "_chunk", F.inline("_f.done"))
+    if longest < chunk:  # one chunk per key, and its first map forgets
+        return within.select(key, "_i", F.col("_b").alias("_r"))
+    totals = folded.select(key, F.col("_chunk").alias("_i"), "_f._a", "_f._b")
+    after = _chain(totals, key, longest // chunk, chunk)
+    begin = after.select(key, (F.col("_i") + 1).alias("_chunk"), F.col("_r").alias("_start"))
+    return within.join(begin, [key, "_chunk"], "left").select(
+        key, "_i", (F.col("_a") * F.coalesce("_start", F.lit(0.0)) + F.col("_b")).alias("_r")
     )
 
 

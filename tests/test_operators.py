@@ -157,11 +157,26 @@ def test_ewma_and_rate(spark):
     df = spark.createDataFrame([("t", 0.0, 0), ("t", 10.0, 100), ("t", 20.0, 300), ("t", 30.0, 300), ("t", 40.0, 200)], "tenant string, t double, total long")
     rates = metrics.ingest_rate(df)
     assert [r.rate for r in rates.orderBy("t").collect()] == [None, 10.0, 20.0, 0.0, 0.0]
-    for width in (10**6, 15, 1):  # across any cut into slices
-        got = [(r.ewma, r.status) for r in metrics.ewma(rates, slice_s=width).orderBy("t").collect()]
+    for chunk in (256, 3, 2):  # in one chunk, two chunks, two levels of chunks
+        got = [(r.ewma, r.status) for r in metrics.ewma(rates, chunk=chunk).orderBy("t").collect()]
         assert got == [(10.0, "receiving"), (14.0, "receiving"), (8.4, "receiving"), (5.04, "receiving")]
 
 
+def test_ewma_of_a_long_series(spark):
+    rnd = random.Random(5)
+    xs = {k: [rnd.random() * 1000 for _ in range(n)] for k, n in (("a", 700), ("b", 37), ("c", 1))}
+    df = spark.createDataFrame([(k, float(i), x) for k, vs in xs.items() for i, x in enumerate(vs)], "tenant string, t double, rate double")
+    want = {}
+    for k, vs in xs.items():
+        r = None
+        for i, x in enumerate(vs):
+            r = x if r is None else 0.6 * r + 0.4 * x
+            want[k, float(i)] = r
+    for chunk in (7, 256):
+        got = {(r.tenant, r.t): r.ewma for r in metrics.ewma(df, chunk=chunk).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
 def test_accept_split(spark):
     df = spark.range(100).selectExpr("id", "id % 2 k")
     rows = metrics.accept_split(df, ["k"], "id", 7, width=10).where("accepted").collect()
