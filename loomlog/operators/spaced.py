@@ -2,9 +2,9 @@
 later. Cooldowns and first-hit-anchored rate windows are both this.
 
 The choice is sequential, but only within a group. Groups that fit an array are folded where
-they are. If any group is larger, none is gathered: times become ranks, each rank points to
-the rank that would follow it, and the pointers are doubled (1, 2, 4, … steps) by joins on
-evenly spread keys.
+they are. A larger group is never gathered: its times become ranks, each rank points to the
+rank that would follow it, and the pointers are doubled (1, 2, 4, … steps) by joins on evenly
+spread keys.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.operators.slices import SLICE_US, counts_at
-from loomlog.session import checkpointed
+from loomlog.session import broadcast_if_small, checkpointed
 
 FOLD_MAX = 1_000_000  # times of one group in an array: 8 MB
 TAKEN_MAX = 20_000  # times taken of one group, as the fold copies its result at each take
@@ -31,10 +31,12 @@ def spaced(
     points = checkpointed(points.select(*keys, at, F.greatest(F.col(gap), F.lit(1)).alias("_gap")))
     taken = F.least(F.count("*"), F.floor((F.max(at) - F.min(at)) / F.max("_gap")) + 1)
     sizes = points.groupBy(*keys).agg(F.count("*").alias("n"), taken.alias("taken"))
-    n, taken = sizes.agg(F.max("n"), F.max("taken")).first()
-    if n is None or (n <= fold_max and taken <= TAKEN_MAX):
+    large = checkpointed(sizes.where((F.col("n") > fold_max) | (F.col("taken") > TAKEN_MAX)).select(*keys))
+    if large.isEmpty():
         return _fold(points, keys, at)
-    return _doubling(points, keys, at, width)
+    large = broadcast_if_small(large)
+    gathered = _fold(points.join(large, keys, "left_anti"), keys, at)
+    return gathered.unionByName(_doubling(points.join(large, keys, "left_semi"), keys, at, width))
 
 
 def _fold(points: DataFrame, keys: list[str], at: str) -> DataFrame:
