@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomlog.functions.times import MICRO
 from loomlog.operators.slices import running, slice_of
+from loomlog.session import checkpointed
 
 EWMA_KEEP, EWMA_NEW = 0.6, 0.4
 RECEIVING_ABOVE = 1.0
@@ -102,6 +103,7 @@ def ewma(
         F.when(F.col("_n") == 1, 0.0).otherwise(EWMA_KEEP).alias("_a"),
         F.when(F.col("_n") == 1, F.col(x)).otherwise(F.col(x) * EWMA_NEW).cast("double").alias("_b"),
     )
+    steps = checkpointed(steps)  # read by the count, the chain and the result
     longest = steps.agg(F.max("_i")).first()[0] or 0
     smooth = _chain(steps.select(key, "_i", "_a", "_b"), key, longest, chunk)
     return (

@@ -31,10 +31,10 @@ def spaced(
     points = checkpointed(points.select(*keys, at, F.greatest(F.col(gap), F.lit(1)).alias("_gap")))
     taken = F.least(F.count("*"), F.floor((F.max(at) - F.min(at)) / F.max("_gap")) + 1)
     sizes = points.groupBy(*keys).agg(F.count("*").alias("n"), taken.alias("taken"))
-    large = checkpointed(sizes.where((F.col("n") > fold_max) | (F.col("taken") > TAKEN_MAX)).select(*keys))
+    large = sizes.where((F.col("n") > fold_max) | (F.col("taken") > TAKEN_MAX)).select(*keys)
     if large.isEmpty():
         return _fold(points, keys, at)
-    large = broadcast_if_small(large)
+    large = broadcast_if_small(checkpointed(large))
     gathered = _fold(points.join(large, keys, "left_anti"), keys, at)
     return gathered.unionByName(_doubling(points.join(large, keys, "left_semi"), keys, at, width))
 
