@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import bpe, decontaminate, token_counts
+from loomlog.llm import bpe, decontaminate, quality_model, substrings, token_counts, warc, weak_rules
+from loomlog.session import checkpointed
 
 #: Where the public vocabulary lies; read on the driver only.
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
@@ -37,6 +38,32 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("quality").alias("label"))
+    weights = quality_model.train(labels.join(docs, "doc_id"), "doc_id")
+    scored = quality_model.score(docs, weights, keep=["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = checkpointed(weak_rules.measure(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+    judged = weak_rules.judge(measured, weak_rules.fit(measured))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.without_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["after"] - s["first"])
+    return done.select("doc_id", "n_words", gone.alias("n_removed"), hex_sha256("kept").alias("kept_sha256"))
+
+
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write(warc.with_revisits(table(spark, sf_dir, "pages")))
+    return warc.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.read_vocabulary(BYTE_BPE)
     encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"])
@@ -51,6 +78,10 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": token_count,
+    "op5_quality_classifier": quality_classifier,
     "op6_benchmark_decontamination": benchmark_decontamination,
+    "op7_substring_dedup": substring_dedup,
+    "op8_warc": warc_round_trip,
+    "op9_quality_rules": quality_rules,
     "op10_bpe": bpe_round_trip,
 }

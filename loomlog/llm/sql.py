@@ -24,4 +24,38 @@ select d.doc_id, len(d.w)::bigint n_words, coalesce(c.n, 0)::bigint n_hit, coale
 from doc_words d left join covered c using (doc_id) left join found f using (doc_id)
 """
 
-ORACLES = {"op6_benchmark_decontamination": BENCHMARK_DECONTAMINATION}
+_SPACED = r"[^\x20\x09-\x0D]+"
+
+SUBSTRING_DEDUP = rf"""
+with rows as (select row_number() over () r, doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') w from documents),
+starts as (
+  select r, i, md5(array_to_string(w[i : i + 34], ' ')) win
+  from (select r, w, unnest(range(1, greatest(len(w) - 34, 0) + 1)) i from rows)
+), gone as (
+  select distinct r, unnest(range(i, i + 35)) j from starts
+  where win in (select win from starts group by 1 having count(*) > 1)
+), by_row as (select r, list(j) js from gone group by 1),
+words as (select r, unnest(w) word, unnest(range(1, len(w) + 1)) j from rows),
+kept as (
+  select r, string_agg(word, ' ' order by j) k from words anti join gone using (r, j) group by 1
+)
+select doc_id, len(w)::bigint n_words, coalesce(len(js), 0)::bigint n_removed, sha256(coalesce(k, '')) kept_sha256
+from rows left join by_row using (r) left join kept using (r)
+"""
+
+WARC = """
+with paid as (select page_id, coalesce(html, '') h, sha1(coalesce(html, '')) x from pages),
+last as (select h, max(page_id) m from paid group by 1)
+select page_id, strlen(h)::bigint payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (((('0x' || substr(x, (5 * (i // 4) + 1)::int, 5))::int) >> (15 - 5 * (i % 4))::int) & 31)::int, 1)), '') payload_digest,
+  case when page_id = m then 'response' else 'revisit' end record_type,
+  case when page_id <> m then m end refers_to
+from paid join last using (h)
+"""
+
+ORACLES = {
+    "op6_benchmark_decontamination": BENCHMARK_DECONTAMINATION,
+    "op7_substring_dedup": SUBSTRING_DEDUP,
+    "op8_warc": WARC,
+}
