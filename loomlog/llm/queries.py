@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import bpe, decontaminate, quality_model, substrings, token_counts, warc, weak_rules
+from loomlog.llm import bpe, decontaminate, quality_model, substrings, surrogates, token_counts, url_filter, warc, weak_rules
 from loomlog.session import checkpointed
 
+SURROGATE_KEY = "corpus-2024"  # for the registered queries; a real run brings a secret of its own
 #: Where the public vocabulary lies; read on the driver only.
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -53,6 +54,15 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace(docs, SURROGATE_KEY).select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"))
+
+
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substrings.without_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["after"] - s["first"])
@@ -78,6 +88,8 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": token_count,
+    "op3_url_filters": url_filters,
+    "op4_pii_surrogates": pii_surrogates,
     "op5_quality_classifier": quality_classifier,
     "op6_benchmark_decontamination": benchmark_decontamination,
     "op7_substring_dedup": substring_dedup,
