@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import bpe, decontaminate, quality_model, substrings, surrogates, token_counts, url_filter, warc, weak_rules
+from loomlog.llm import bpe, decontaminate, ngram_join, quality_model, substrings, surrogates, token_counts, url_filter, warc, weak_rules
 from loomlog.session import checkpointed
 
 SURROGATE_KEY = "corpus-2024"  # for the registered queries; a real run brings a secret of its own
@@ -54,6 +54,10 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -88,6 +92,7 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": token_count,
+    "op2_ngram_jaccard_join": ngram_jaccard_join,
     "op3_url_filters": url_filters,
     "op4_pii_surrogates": pii_surrogates,
     "op5_quality_classifier": quality_classifier,

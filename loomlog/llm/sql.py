@@ -54,7 +54,28 @@ select page_id, strlen(h)::bigint payload_bytes,
 from paid join last using (h)
 """
 
+NGRAM_JACCARD_JOIN = rf"""
+with recursive rows as (
+  select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_ALNUM}') w from documents
+), grams as (
+  select distinct r, array_to_string(w[i : i + 4], ' ') g
+  from (select r, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) i from rows)
+), sets as (select r, doc_id, coalesce(s, '') s, coalesce(n, 0) n
+  from rows left join (select r, md5(string_agg(g, chr(10) order by g)) s, count(*) n from grams group by 1) using (r)),
+classes as (select s, min(doc_id) class_id, count(*) copies, min(r) rep, any_value(n) n from sets group by 1),
+class_grams as (select s, n, g from classes join grams on rep = r),
+pairs as (
+  select a.s a, b.s b from class_grams a join class_grams b using (g) where a.s <> b.s
+  group by 1, 2, a.n, b.n having count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9
+), reach as (select a s, a t from pairs union select reach.s, pairs.b from reach join pairs on reach.t = pairs.a),
+grouped as (select reach.s, min(class_id) group_id from reach join classes on classes.s = reach.t group by 1),
+linked as (select a s, count(*) links from pairs group by 1)
+select doc_id, class_id, copies, coalesce(links, 0)::bigint links, coalesce(group_id, class_id) group_id
+from sets join classes using (s) left join linked using (s) left join grouped using (s)
+"""
+
 ORACLES = {
+    "op2_ngram_jaccard_join": NGRAM_JACCARD_JOIN,
     "op6_benchmark_decontamination": BENCHMARK_DECONTAMINATION,
     "op7_substring_dedup": SUBSTRING_DEDUP,
     "op8_warc": WARC,
