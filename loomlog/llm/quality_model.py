@@ -78,17 +78,19 @@ class Learner:
         self.n[at] += g * g
 
 
-def train(labelled: DataFrame, key: str, text: str = "text", label: str = "label") -> np.ndarray:
-    """Weights of a bounded sample of labelled texts, as float32 (1 MB, whatever the input).
+def train(docs: DataFrame, labels: DataFrame, key: str, text: str = "text", label: str = "label") -> np.ndarray:
+    """Weights learned from labelled texts, as float32 (1 MB, whatever the input).
 
-    Rows with a null key or label are left out, of a repeated key one row is taken. If more than
-    ``MAX_TRAINING_ROWS`` keys are there, the ones with the least hash are taken. Each of ``SHARDS``
-    groups is learned in one task of at most a few thousand rows; the weights are averaged.
-    With no labelled row all weights are 0, so every score is 0.5.
+    Labels with a null key or value are left out. If more than ``MAX_TRAINING_ROWS`` keys are
+    labelled, the ones with the least hash are taken; only their texts are shuffled. Of a repeated key
+    one text and one label is taken. Each of ``SHARDS`` groups is learned in one task of at most a few
+    thousand rows; the weights are averaged. With no labelled text all weights are 0 and every score 0.5.
     """
-    rows = labelled.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{label}`").cast("double").alias("label")).where("key is not null and label is not null")
-    chosen = rows.select("key", F.xxhash64("key").alias("h")).distinct().orderBy("h", "key").limit(MAX_TRAINING_ROWS).select("key", "h")
-    one = rows.join(F.broadcast(chosen), "key").groupBy("key", "h").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "label")).alias("r"))
+    named = labels.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{label}`").cast("double").alias("label")).where("key is not null and label is not null")
+    known = named.groupBy("key").agg(F.min("label").alias("label")).withColumn("h", F.xxhash64("key"))
+    chosen = known.orderBy("h", "key").limit(MAX_TRAINING_ROWS)
+    rows = docs.select(F.col(f"`{key}`").cast("string").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    one = rows.join(F.broadcast(chosen), "key").groupBy("key", "h", "label").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards: dict[int, list] = {}
@@ -107,8 +109,8 @@ def train(labelled: DataFrame, key: str, text: str = "text", label: str = "label
             some = np.flatnonzero(w)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(w[some], pa.float64())], ["bucket", "w"])
 
-    dealt = one.select(F.pmod("h", F.lit(SHARDS)).alias("shard"), "key", "r").repartition(SHARDS, "shard").sortWithinPartitions("shard", F.xxhash64("key", F.lit(1)), "key")
-    learned = dealt.select("shard", "r.text", "r.label").mapInArrow(run, "bucket int, w double")
+    dealt = one.select(F.pmod("h", F.lit(SHARDS)).alias("shard"), "key", "text", "label").repartition(SHARDS, "shard").sortWithinPartitions("shard", F.xxhash64("key", F.lit(1)), "key")
+    learned = dealt.select("shard", "text", "label").mapInArrow(run, "bucket int, w double")
     weights = np.zeros((1 << BUCKET_BITS) + 1, np.float64)
     # at most a row for each bucket
     for r in learned.groupBy("bucket").agg(F.sort_array(F.collect_list("w")).alias("ws")).collect():

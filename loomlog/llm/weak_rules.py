@@ -159,3 +159,12 @@ def judge(measured: DataFrame, model: tuple[float, dict[str, tuple[float, float]
     known = votes()
     out = measured.withColumns({"base_failed": base_failed, "posterior": posterior(good, right, {k: known[k] for k in right})})
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
+
+
+def accepted(judged: DataFrame) -> DataFrame:
+    """The judged documents that are kept.
+
+    The row number keeps the filter above the measures; pushed down, it would hold a copy of them for
+    each place that names one.
+    """
+    return judged.withColumn("__row", F.monotonically_increasing_id()).where("kept and __row >= 0").drop("__row")
