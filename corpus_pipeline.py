@@ -17,7 +17,7 @@ from loomlog.session import new_folder
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the posterior of the votes accept."""
     measured = weak_rules.measure(docs)
-    return weak_rules.judge(measured, weak_rules.fit(measured)).where("kept").select(*docs.columns)
+    return weak_rules.accepted(weak_rules.judge(measured, weak_rules.fit(measured))).select(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
