@@ -69,14 +69,17 @@ def canonical(value: Column) -> Column:
 
     Keys and tokens keep their case. A name counts without its title but with the gender it tells.
     """
-    kind = kind_of(value)
-    form = (
-        F.when(kind.isin("ssn", "card", "phone"), F.regexp_replace(value, "[^0-9]", ""))
-        .when(kind == "name", F.concat_ws(":", _gender(value).cast("string"), F.lower(_bare(value))))
-        .when(kind.isin("key", "token"), value)
-        .otherwise(F.lower(value))
-    )
-    return F.concat_ws(":", kind, form)
+    def form(kind: Column) -> Column:
+        return F.concat_ws(
+            ":",
+            kind,
+            F.when(kind.isin("ssn", "card", "phone"), F.regexp_replace(value, "[^0-9]", ""))
+            .when(kind == "name", F.concat_ws(":", _gender(value).cast("string"), F.lower(_bare(value))))
+            .when(kind.isin("key", "token"), value)
+            .otherwise(F.lower(value)),
+        )
+
+    return _let(kind_of(value), form)
 
 
 def entities(text: Column) -> Column:
@@ -96,15 +99,18 @@ def _byte(drawn: Column, at: Column) -> Column:
 
 def _char(drawn: Column, at: Column, c: Column) -> Column:
     """A character of the same kind as ``c``."""
-    v = _byte(drawn, at)
     lower, upper = F.lit("abcdefghijklmnopqrstuvwxyz"), F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    return (
-        F.when(c == "0", F.pmod(v, F.lit(10)).cast("string"))
-        .when(c.between("1", "9"), (F.pmod(v, F.lit(9)) + 1).cast("string"))
-        .when(c.between("a", "z"), F.substr(lower, F.pmod(v, F.lit(26)) + 1, F.lit(1)))
-        .when(c.between("A", "Z"), F.substr(upper, F.pmod(v, F.lit(26)) + 1, F.lit(1)))
-        .otherwise(c)
-    )
+
+    def one(v: Column) -> Column:
+        return (
+            F.when(c == "0", F.pmod(v, F.lit(10)).cast("string"))
+            .when(c.between("1", "9"), (F.pmod(v, F.lit(9)) + 1).cast("string"))
+            .when(c.between("a", "z"), F.substr(lower, F.pmod(v, F.lit(26)) + 1, F.lit(1)))
+            .when(c.between("A", "Z"), F.substr(upper, F.pmod(v, F.lit(26)) + 1, F.lit(1)))
+            .otherwise(c)
+        )
+
+    return _let(_byte(drawn, at), one)
 
 
 def _chars(value: Column) -> Column:
@@ -126,9 +132,9 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(_chars(F.reverse(digits)), one), F.lit(0), lambda a, d: a + d)
 
 
-def _card(drawn: Column, value: Column) -> Column:
+def _card(alike: Column, value: Column) -> Column:
     """First digit kept; where the checksum held it holds again, by the last digit."""
-    made = F.concat(F.substr(value, F.lit(1), F.lit(1)), F.substr(_alike(drawn, value), F.lit(2)))
+    made = F.concat(F.substr(value, F.lit(1), F.lit(1)), F.substr(alike, F.lit(2)))
     bare = lambda x: F.regexp_replace(x, "[^0-9]", "")
     head = lambda m: F.substr(m, F.lit(1), F.char_length(m) - 1)
     held = F.pmod(_luhn_sum(bare(value)), F.lit(10)) == 0
@@ -136,11 +142,11 @@ def _card(drawn: Column, value: Column) -> Column:
     return _let(made, lambda m: F.when(held, F.concat(head(m), last(m))).otherwise(m))
 
 
-def _ip(drawn: Column, value: Column) -> Column:
-    """Each number keeps its number of digits."""
+def _ip(drawn: Column, value: Column, draw: Column) -> Column:
+    """Each number keeps its number of digits, in the first draws."""
     def one(x: Column, i: Column) -> Column:
         v = _byte(drawn, i * 2)
-        return F.when(F.char_length(x) == 3, 100 + F.pmod(v, F.lit(155))).when(F.char_length(x) == 2, 10 + F.pmod(v, F.lit(90))).otherwise(1 + F.pmod(v, F.lit(9)))
+        return F.when(draw >= LONGER_FROM, 1 + F.pmod(v, F.lit(254))).when(F.char_length(x) == 3, 100 + F.pmod(v, F.lit(155))).when(F.char_length(x) == 2, 10 + F.pmod(v, F.lit(90))).otherwise(1 + F.pmod(v, F.lit(9)))
 
     return F.array_join(F.transform(F.split(value, "\\."), lambda x, i: one(x, i).cast("string")), ".")
 
@@ -153,49 +159,54 @@ def _hexadecimal(drawn: Column, value: Column) -> Column:
     return F.array_join(F.transform(_chars(value), one), "")
 
 
+def _words(of: tuple[str, ...]) -> Column:
+    return F.array(*map(F.lit, of))
+
+
 def _name(drawn: Column, value: Column, draw: Column) -> Column:
     """Title kept; as many names, of the same script and gender, in the same capitals."""
     bare = _bare(value)
     title = F.substr(value, F.lit(1), F.char_length(value) - F.char_length(bare))
     script = F.when(bare.rlike(r"\p{IsCyrillic}"), "cyrillic").when(bare.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
+    tables = F.when(script == "cyrillic", _words(SYLLABLES["cyrillic"])).when(script == "greek", _words(SYLLABLES["greek"])).otherwise(_words(SYLLABLES["latin"]))
+    endings = F.when(script == "cyrillic", _words(ENDINGS["cyrillic"])).when(script == "greek", _words(ENDINGS["greek"])).otherwise(_words(ENDINGS["latin"]))
+    n = 2 + F.when(draw >= LONGER_FROM, draw).otherwise(0)
+
     def one(part: Column, i: Column) -> Column:
-        made = F.lit("")
-        for name, syllables in SYLLABLES.items():
-            table = F.array(*map(F.lit, syllables))
-            n = 2 + F.when(draw >= LONGER_FROM, draw).otherwise(0)
-            body = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.get(table, F.pmod(_byte(drawn, i * 5 + k), F.lit(16)))), "")
-            ending = F.get(F.array(*map(F.lit, ENDINGS[name])), _gender(value))
-            made = F.when(script == name, F.concat(body, ending)).otherwise(made)
-        return F.when((part == F.upper(part)) & (F.char_length(part) > 1), F.upper(made)).otherwise(F.initcap(made))
+        body = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.get(tables, F.pmod(_byte(drawn, i * 5 + k), F.lit(16)))), "")
+        whole = F.concat(body, F.get(endings, _gender(value)))
+        return _let(whole, lambda w: F.when((part == F.upper(part)) & (F.char_length(part) > 1), F.upper(w)).otherwise(F.initcap(w)))
 
     return F.concat(title, F.array_join(F.transform(F.split(bare, " "), one), " "))
 
 
 def surrogate(value: Column, draw: Column, key: str) -> Column:
     """The surrogate of an entity as it is spelled, at the given draw (0 the first)."""
+    # Addresses of one domain get one domain again; the last label stays.
+    domain = F.substring_index(value, "@", -1)
+    top = F.substring_index(domain, ".", -1)
+    inner = F.substr(domain, F.lit(1), F.char_length(domain) - F.char_length(top))
+    hidden = _let(_drawn(F.concat_ws(":", F.lit("domain"), F.lower(inner)), F.lit(0), key), lambda d: _alike(d, inner))
+    # A phone number keeps its country, a key the letters that tell its kind.
+    front = F.char_length(F.regexp_extract(value, r"^(?:\+[0-9]{1,3}(?=[ .(-])|AKIA|ASIA|[a-z]+[-_])", 0))
+
     def made(drawn: Column) -> Column:
-        kind, alike = kind_of(value), _alike(drawn, value)
-        front = lambda n: F.concat(F.substr(value, F.lit(1), n), F.substr(alike, n + 1))
-        local = F.substring_index(alike, "@", 1)
-        # Addresses of one domain get one domain again; the last label stays.
-        domain = F.substring_index(value, "@", -1)
-        top = F.substring_index(domain, ".", -1)
-        inner = F.substr(domain, F.lit(1), F.char_length(domain) - F.char_length(top))
-        hidden = _let(_drawn(F.concat_ws(":", F.lit("domain"), F.lower(inner)), F.lit(0), key), lambda d: _alike(d, inner))
         more = F.when(draw >= LONGER_FROM, F.concat(F.lit("."), draw.cast("string"), F.substr(drawn, F.lit(1), F.lit(8)))).otherwise("")
-        country = F.char_length(F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0))
-        kept = F.char_length(F.regexp_extract(value, "^(?:AKIA|ASIA|[a-z]+[-_])", 0))
-        return (
-            F.when(kind == "email", F.concat(local, more, F.lit("@"), hidden, top))
-            .when(kind == "ip", _ip(drawn, value))
-            .when(kind == "card", _card(drawn, value))
-            .when(kind == "token", _hexadecimal(drawn, value))
-            .when(kind == "key", front(kept))
-            .when(kind == "name", _name(drawn, value, draw))
-            .when(kind == "phone", front(country))
-            .otherwise(alike)
-        )
+
+        def by_kind(x: Column) -> Column:
+            kind, alike = x["kind"], x["alike"]
+            return (
+                F.when(kind == "email", F.concat(F.substring_index(alike, "@", 1), more, F.lit("@"), hidden, top))
+                .when(kind == "ip", _ip(drawn, value, draw))
+                .when(kind == "card", _card(alike, value))
+                .when(kind == "token", _hexadecimal(drawn, value))
+                .when(kind == "name", _name(drawn, value, draw))
+                .when(kind == "ssn", alike)
+                .otherwise(F.concat(F.substr(value, F.lit(1), front), F.substr(alike, front + 1)))
+            )
+
+        return _let(F.struct(kind_of(value).alias("kind"), _alike(drawn, value).alias("alike")), by_kind)
 
     return _let(_drawn(canonical(value), draw, key), made)
 
