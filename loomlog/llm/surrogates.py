@@ -259,7 +259,8 @@ def replace(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text
         maps = held.groupBy("__k1", "__k2").agg(F.map_from_entries(F.collect_list(F.struct("form", "draw"))).alias("__draws"))
         rows = rows.join(maps, ["__k1", "__k2"], "left")
     draw = lambda e: F.coalesce(F.try_element_at("__draws", canonical(e)), F.lit(0))
-    made = F.transform("__found", lambda e: F.struct(kind_of(e).alias("kind"), e.alias("value"), surrogate(e, draw(e), key).alias("surrogate")))
+    told_of = lambda x: F.struct(kind_of(x["e"]).alias("kind"), x["e"].alias("value"), surrogate(x["e"], x["draw"], key).alias("surrogate"))
+    made = F.transform("__found", lambda e: _let(F.struct(e.alias("e"), draw(e).alias("draw")), told_of))
     told = rows.select(*others, "__text", made.alias("entities"))
     # The text between entities, each followed by what replaces the entity after it.
     between = F.split("__text", ENTITY, -1)

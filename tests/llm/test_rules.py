@@ -36,7 +36,7 @@ def test_hosts_paths_and_the_longest_rule(spark):
     assert url_filter.judge(none_of(pages(spark, [(1, "", "")]))).collect() == []
 
 
-def brute_ranks(seeds, links, rounds=60):
+def brute_ranks(seeds, links, rounds=url_filter.ROUNDS):
     out = []
     for mine, arcs in ((0, links), (1, {(b, a): n for (a, b), n in links.items()})):
         hosts = {*seeds, *(h for e in links for h in e)}
