@@ -45,7 +45,7 @@ def _plain(value: str) -> str:
 def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None, date: str) -> bytes:
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     headers = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
-    if url is not None:
+    if url:
         headers.append(f"WARC-Target-URI: {_plain(url)}")
     headers.append(f"WARC-Payload-Digest: sha1:{_digest(payload)}")
     if kind == "revisit":
