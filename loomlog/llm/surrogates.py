@@ -42,6 +42,8 @@ SYLLABLES = {
     "greek": ("βα", "γε", "δα", "ζο", "θα", "κα", "λε", "μα", "νε", "πα", "ρο", "σα", "τε", "φα", "χα", "ψε"),
 }
 ENDINGS = {"latin": ("rin", "lia", "len"), "cyrillic": ("рин", "лия", "лен"), "greek": ("ρος", "λια", "λεν")}
+#: Entities that drew again are given to all tasks up to this number; beyond it they are joined.
+MAX_LISTED = 1_000
 #: From this draw on a surrogate also gets more characters, so a small space of forms cannot run out.
 LONGER_FROM = 4
 
@@ -228,7 +230,7 @@ def draws(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     found = docs.select(F.explode(F.transform(entities(body), lambda e: F.struct(canonical(e).alias("form"), e.alias("value")))).alias("e"))
     known = checkpointed(found.groupBy("e.form").agg(F.min("e.value").alias("value")).withColumn("draw", F.lit(0)))
     while True:
-        made = known.withColumn("made", canonical(surrogate(F.col("value"), F.col("draw"), key)))
+        made = known.withColumn("made", _let(surrogate(F.col("value"), F.col("draw"), key), canonical))
         real = made.join(known.select(F.col("form").alias("made")).distinct(), "made", "left_semi").select("form")
         shared = made.groupBy("made").agg(F.min("form").alias("first"), F.count("*").alias("n")).where("n > 1")
         losers = made.join(shared, "made").where("form <> first").select("form").union(real).distinct()
@@ -249,8 +251,10 @@ def replace(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text
     others = [F.col(f"`{c}`") for c in columns]
     body = F.col(f"`{text}`").cast("string")
     rows = docs.select(*others, body.alias("__text"), entities(F.coalesce(body, F.lit(""))).alias("__found"))
-    if again.isEmpty():
-        rows = rows.withColumn("__draws", F.lit(None).cast("map<string,int>"))
+    if len(again.take(MAX_LISTED + 1)) <= MAX_LISTED:
+        # few enough to go along with every task, so no text is shuffled
+        listed = again.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("form", "draw")))).alias("m"))
+        rows = rows.withColumn("__draws", listed.scalar())
     else:
         # Equal rows share a key, and all of their results.
         keys = [F.xxhash64(F.col(f"`{c}`").cast("string"), F.col("__text"), F.lit(i)) for i, c in enumerate((doc_id, doc_id))] if doc_id in columns else [F.xxhash64("__text"), F.xxhash64(F.lit(1), "__text")]

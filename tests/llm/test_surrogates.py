@@ -80,7 +80,9 @@ def test_surrogates_are_of_their_kind(done):
     assert re.fullmatch("Господин [А-я]+рин [А-я]+рин", names[3]) and re.fullmatch("Κυρία [Α-ωά-ώ]+λια", names[4])
 
 
-def test_colliding_surrogates_are_drawn_again(spark):
+@pytest.mark.parametrize("listed", [1_000, 0])
+def test_colliding_surrogates_are_drawn_again(spark, monkeypatch, listed):
+    monkeypatch.setattr(surrogates, "MAX_LISTED", listed)
     # all addresses of one digit a place: their 6 561 forms are as many as their surrogates
     ips = [f"{a}.{b}.{c}.{d}" for a in range(1, 6) for b in range(1, 6) for c in range(1, 5) for d in range(1, 5)]
     docs = spark.createDataFrame([(i % 7, f"{x} and {x}") for i, x in enumerate(ips)], "doc_id long, text string")
