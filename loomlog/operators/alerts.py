@@ -23,9 +23,12 @@ ALERT_COLUMNS = ["timestamp", "tenant", "rule", "level", "service", "count", "wi
 
 def rule_table(rules: DataFrame) -> DataFrame:
     """Rules with durations in microseconds and the pattern they are looked up by; marked for
-    broadcast if there are few enough. Taking its own result again changes nothing."""
+    broadcast if there are few enough. Taking its own result again changes nothing. A name that
+    two rules share is refused: alerts, state and cooldowns go by it."""
     if "window_us" in rules.columns:
         return rules
+    if shared := rules.groupBy("name").count().where("count > 1").take(1):
+        raise ValueError(f"two rules are named {shared[0]['name']!r}")
     level, service = F.nullif("level", F.lit("")), F.nullif("service", F.lit(""))
     table = rules.select(
         F.col("name").alias("rule"),

@@ -29,5 +29,6 @@ def day_kept(as_of: datetime, days: int) -> Column:
 
 
 def split(logs: DataFrame, kept: Column) -> tuple[DataFrame, DataFrame]:
-    """(kept, expired), complements of each other."""
+    """(kept, expired), complements of each other: what cannot be decided, as without a time, is kept."""
+    kept = F.coalesce(kept, F.lit(True))
     return logs.where(kept), logs.where(~kept)

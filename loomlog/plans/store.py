@@ -4,25 +4,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.functions.ids import canonical_json, day_of, doc_id, tenant_or_default
 from loomlog.schema import LOG_COLUMNS, STORE_SCHEMA
 from loomlog.session import path_exists, pin_utc
 
-_MANY_DAYS = 1000
-
 
 def store_rows(logs: DataFrame) -> DataFrame:
     """Log columns in stored form: canonical attrs, tenant, id, day."""
+    attrs = F.coalesce("attrs", F.lit("{}"))
     return (
         logs.select(*LOG_COLUMNS)
-        .withColumns(
-            {"tenant": tenant_or_default(F.col("tenant")), "attrs": canonical_json(F.coalesce("attrs", F.lit("{}")))}
-        )
+        # attrs that do not parse, as with a key twice, stay as they came
+        .withColumns({"tenant": tenant_or_default(F.col("tenant")), "attrs": F.coalesce(canonical_json(attrs), attrs)})
         .withColumns({"doc_id": doc_id(), "day": day_of(F.col("timestamp"))})
         .select(*STORE_SCHEMA.fieldNames())
     )
@@ -30,8 +27,8 @@ def store_rows(logs: DataFrame) -> DataFrame:
 
 def dedupe(rows: DataFrame) -> DataFrame:
     """One row per id. The id covers every column, so equal ids are equal rows and a plain
-    distinct does it: hash aggregation, with copies collapsed before the shuffle."""
-    return rows.distinct()
+    distinct does it: hash aggregation. Rows are dealt by id, which also serves a join on it."""
+    return rows.repartition("doc_id").distinct()
 
 
 def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -84,24 +81,33 @@ class LogStore:
 
     def write(self, logs: DataFrame) -> WriteResult:
         """Add the events that are not stored yet. Writing the same events again adds none,
-        so a job that failed half way is simply run again."""
-        rows = store_rows(logs)
+        so a job that failed half way is simply run again. Events without a time have no day to
+        be found by again and are refused. Only the tenant-days of the batch are listed and read."""
+        rows = store_rows(logs).persist()
+        try:
+            return self._write(rows)
+        finally:
+            rows.unpersist()
+
+    def _write(self, rows: DataFrame) -> WriteResult:
         spans = (
-            rows.groupBy("day")
+            rows.groupBy("tenant", "day")
             .agg(
                 F.count("*").alias("n"),
                 F.min(F.unix_micros("timestamp")).alias("lo"),
                 F.max(F.unix_micros("timestamp")).alias("hi"),
             )
-            .collect()  # one row per calendar day
+            .collect()  # one row per tenant and day of the batch
         )
+        if undated := sum(s.n for s in spans if s.day is None):
+            raise ValueError(f"{undated} events have no timestamp")
         received = sum(s.n for s in spans)
         if not received:
             return WriteResult(0, 0)
         fresh = dedupe(rows)
-        if self.exists():
-            # the batch's own session, which in a stream is not the store's
-            known = self._scan(logs.sparkSession).where(_in_spans(spans)).select("doc_id")
+        # the batch's own session, which in a stream is not the store's
+        known = self._known(rows.sparkSession, spans)
+        if known is not None:
             fresh = fresh.join(known, "doc_id", "left_anti")
         seen = Observation()
         (
@@ -117,6 +123,21 @@ class LogStore:
         )
         return WriteResult(received, seen.get["new"])
 
+    def _known(self, spark: SparkSession, spans: list) -> DataFrame | None:
+        """Ids of the stored rows that could equal a row of the batch. The id covers the tenant and
+        the time, so a copy lies in its tenant's day and within its time span; other folders are not
+        listed, and Parquet statistics skip the files outside the span."""
+        folders = {f"{self.path}/{self._tenant_folder(s.tenant)}/day={s.day.isoformat()}": s for s in spans}
+        there = [f for f in folders if path_exists(spark, f)]
+        if not there:
+            return None
+        stored = spark.read.schema(STORE_SCHEMA).option("basePath", self.path).parquet(*there)
+        bounds = spark.createDataFrame([(s.tenant, s.day, s.lo, s.hi) for s in map(folders.get, there)], "tenant string, day date, lo long, hi long")
+        lo, hi = min(folders[f].lo for f in there), max(folders[f].hi for f in there)
+        within = F.col("timestamp").between(F.timestamp_micros(F.lit(lo)), F.timestamp_micros(F.lit(hi)))
+        own = F.unix_micros("timestamp").between(F.col("lo"), F.col("hi"))
+        return stored.where(within).join(F.broadcast(bounds), ["tenant", "day"]).where(own).select("doc_id")
+
     def day_folders(self, tenant: str | None = None) -> list[tuple[str, date, str]]:
         """(tenant, day, path) of every partition, from folder names alone."""
         if not self.exists():
@@ -140,18 +161,3 @@ class LogStore:
             jpath = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
             jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
-
-def _in_spans(spans: list) -> Column:
-    """The stored rows that could equal a row of the batch. The id covers the timestamp, so a
-    copy lies within its day's time span, and Parquet statistics skip the files outside."""
-
-    def within(lo: int, hi: int) -> Column:
-        return F.col("timestamp").between(F.timestamp_micros(F.lit(lo)), F.timestamp_micros(F.lit(hi)))
-
-    if len(spans) > _MANY_DAYS:
-        lo, hi = min(s.lo for s in spans), max(s.hi for s in spans)
-        days = min(s.day for s in spans), max(s.day for s in spans)
-        return F.col("day").between(*map(F.lit, days)) & within(lo, hi)
-    return reduce(
-        Column.__or__, [(F.col("day") == F.lit(s.day)) & within(s.lo, s.hi) for s in spans]
-    )

@@ -63,11 +63,9 @@ def fits(c: Column, max_bytes: int = MAX_BODY_BYTES) -> Column:
 
 
 def oversize_split(df: DataFrame, body: str, max_bytes: int = MAX_BODY_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(bodies within the limit, the others with a reason)."""
-    return (
-        df.where(fits(F.col(body), max_bytes)),
-        df.where(~fits(F.col(body), max_bytes)).withColumn("reason", F.lit("too_large")),
-    )
+    """(bodies within the limit, the others with a reason). A null body has no bytes and is within."""
+    within = F.coalesce(fits(F.col(body), max_bytes), F.lit(True))
+    return df.where(within), df.where(~within).withColumn("reason", F.lit("too_large"))
 
 
 def fill_defaults(df: DataFrame, ingest_time: Column) -> DataFrame:

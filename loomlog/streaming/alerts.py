@@ -2,12 +2,15 @@
 
 Event mode waits until the watermark has passed an event before it counts it, so events are
 counted in time order and the result is that of the batch plan; events later than the
-watermark are left out here (never in the store). Arrival mode counts at once and takes the
+watermark are left out here (never in the store), so ``delay`` must cover the disorder of the
+source; progress.LateRows counts what it did not cover. Arrival mode counts at once and takes the
 time of the micro-batch for all its events.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -123,15 +126,17 @@ def alert_stream(
     delay: str = "10 seconds",
     once: bool = False,
     every: str = "1 second",
+    send: Callable[[DataFrame], None] | None = None,
 ) -> StreamingQuery:
-    """Alerts into a table, each once, and a notification for each."""
+    """Alerts into a table, each once, and a notification for each: written below
+    ``notifications``, or handed to ``send`` batch by batch."""
     rules = rule_table(rules)
 
     def store(fired: DataFrame, batch_id: int) -> None:
         alerts = alert_rows(fired, rules).persist()  # stored and notified from one evaluation
         append_alerts(alerts, path)
-        if notifications:
-            notify(alerts, notifications, batch_id)
+        if notifications or send:
+            notify(alerts, notifications, batch_id, send)
         alerts.unpersist()
 
     trigger = {"availableNow": True} if once else {"processingTime": every}

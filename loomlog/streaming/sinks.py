@@ -53,7 +53,7 @@ def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_ALERT_TABLE).parquet(path)
 
 
-def notify(alerts: DataFrame, path: str, batch_id: int, send: Callable[[DataFrame], None] | None = None) -> None:
+def notify(alerts: DataFrame, path: str | None, batch_id: int, send: Callable[[DataFrame], None] | None = None) -> None:
     """One text per alert, written out or handed to ``send``. A failing ``send`` is not
     allowed to stop the stream."""
     texts = alerts.select(notification().alias("text"))

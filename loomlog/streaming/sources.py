@@ -11,13 +11,36 @@ from loomlog.schema import LOG_SCHEMA
 from loomlog.sources.raw import parse_lines
 
 
-def decode_events(wire: DataFrame, value: str = "value") -> DataFrame:
-    """Wire text to log columns. attrs keeps its JSON text."""
-    event = F.from_json(F.col(value).cast("string"), LOG_SCHEMA)
+def decode_events(wire: DataFrame, value: str = "value", keep_raw: bool = False) -> DataFrame:
+    """Wire text to log columns. attrs keeps its JSON text.
+
+    With ``keep_raw``, what does not decode stays as a row of nulls, and ``raw`` holds the text of
+    every row, for the indexing stream to dead-letter; otherwise ``undecodable`` tells what is left out.
+    """
+    text = F.col(value).cast("string")
+    event = F.from_json(text, LOG_SCHEMA)
+    if keep_raw:
+        return wire.select(event.alias("_e"), text.alias("raw")).select("_e.*", "raw")
     return wire.select(event.alias("_e")).select("_e.*").where("message is not null")
 
 
-def topic(spark: SparkSession, servers: str, name: str = "logs", max_per_batch: int = 500_000, **options: str) -> DataFrame:
+def undecodable(wire: DataFrame, value: str = "value") -> DataFrame:
+    """(raw, reason) of the wire rows that decode_events leaves out."""
+    return (
+        decode_events(wire, value, keep_raw=True)
+        .where("message is null")
+        .select("raw", F.lit("undecodable").alias("reason"))
+    )
+
+
+def topic(
+    spark: SparkSession,
+    servers: str,
+    name: str = "logs",
+    max_per_batch: int = 500_000,
+    keep_raw: bool = False,
+    **options: str,
+) -> DataFrame:
     """Events of a broker topic from its first offset; needs Spark's Kafka package.
 
     ``max_per_batch`` bounds a micro-batch. That is the backpressure: what does not fit waits
@@ -36,12 +59,12 @@ def topic(spark: SparkSession, servers: str, name: str = "logs", max_per_batch:
         )
         .load()
     )
-    return decode_events(wire)
+    return decode_events(wire, keep_raw=keep_raw)
 
 
-def event_files(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
+def event_files(spark: SparkSession, path: str, max_files: int = 100, keep_raw: bool = False) -> DataFrame:
     """Events from a directory of wire text, as publish() writes it."""
-    return decode_events(spark.readStream.option("maxFilesPerTrigger", max_files).text(path))
+    return decode_events(spark.readStream.option("maxFilesPerTrigger", max_files).text(path), keep_raw=keep_raw)
 
 
 def tail(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomlog.operators.metrics import tumbling_rate
@@ -12,12 +13,18 @@ from loomlog.operators.stats import cell_counts, stats_from_cells
 def live_cells(events: DataFrame, path: str, checkpoint: str, once: bool = False, every: str = "2 seconds") -> StreamingQuery:
     """Keep (tenant, level, service, n). The state is one counter per cell; each micro-batch
     is summed per task first. Every version has a folder of its own, so a reader never sees
-    half of one."""
+    half of one; the last two stay."""
+
+    def store(df: DataFrame, i: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/version={i}")
+        old = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/version={i - 2}")
+        old.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(old, True)
+
     trigger = {"availableNow": True} if once else {"processingTime": every}
     return (
         cell_counts(events)
         .writeStream.outputMode("complete")
-        .foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{path}/version={i}"))
+        .foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .start()
@@ -33,6 +40,34 @@ def read_live_stats(spark: SparkSession, path: str) -> DataFrame:
     return stats_from_cells(spark.read.parquet(last.toString()))
 
 
+def rate_table(
+    events: DataFrame,
+    path: str,
+    checkpoint: str,
+    width: str,
+    keys: tuple[str, ...] = ("tenant",),
+    once: bool = False,
+    every: str = "10 seconds",
+) -> StreamingQuery:
+    """Events per interval, complete in whatever order they come.
+
+    Every micro-batch adds its own counts, in a folder that a replay of it writes over. There is no
+    state and no watermark, so no event is ever too late; ``read_rate`` sums the parts.
+    """
+
+    def store(df: DataFrame, i: int) -> None:
+        tumbling_rate(df, "timestamp", width, list(keys)).write.mode("overwrite").parquet(f"{path}/batch={i}")
+
+    trigger = {"availableNow": True} if once else {"processingTime": every}
+    return events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def read_rate(spark: SparkSession, path: str, keys: tuple[str, ...] = ("tenant",)) -> DataFrame:
+    """The counts of a rate table so far: keys, window, n."""
+    return spark.read.parquet(f"{path}/batch=*").groupBy(*keys, "window").agg(F.sum("n").alias("n"))
+
+
 def rate_stream(events: DataFrame, width: str, delay: str, keys: tuple[str, ...] = ("tenant",)) -> DataFrame:
-    """Events per interval, final once the watermark has passed the interval."""
+    """Events per interval, final once the watermark has passed the interval; later events are left out
+    (``progress`` counts them). Where all must count, take ``rate_table``."""
     return tumbling_rate(events.withWatermark("timestamp", delay), "timestamp", width, list(keys))

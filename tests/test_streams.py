@@ -4,9 +4,14 @@ import os
 import random
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql, queries
+from check_oracles import compare
+from conftest import SF
+
 from loomlog.operators import alerts, stats
 from loomlog.plans.ingest import counted
 from loomlog.plans.store import LogStore, store_rows
@@ -14,6 +19,8 @@ from loomlog.sources.raw import parse_lines
 from loomlog.streaming import alerts as stream_alerts
 from loomlog.streaming import index, progress, sinks, sources
 from loomlog.streaming import stats as stream_stats
+from loomlog.sources.rules import load_rules
+from workload import tables
 from test_alerts import hits, model, rules_df
 
 FAR = 4_000_000_000.0
@@ -231,3 +238,70 @@ def test_batch_equals_stream_on_one_rule(spark, logs, tmp_path):
     batch = alerts.fires(logs(events), rules_df(spark, rules)).collect()
     got = drain_alerts(spark, logs, tmp_path, parts(events, 3) + END, rules)
     assert sorted((r.rule, r.tenant, round(r.us / 10**6, 6)) for r in batch) == got
+
+
+@pytest.fixture(scope="module")
+def many_files(spark, tmp_path_factory):
+    """The events as 60 files in mixed order, of which a micro-batch takes seven."""
+    folder = tmp_path_factory.mktemp("many")
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.repartition(60, F.xxhash64("event_id")).write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["stream_rate", "stream_alerts", "stream_dedupe", "stream_index", "stream_stats"])
+def test_streams_are_complete_on_many_files(spark, many_files, monkeypatch, name):
+    monkeypatch.setattr(tables, "FILES_PER_BATCH", 7)
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{SF}/events.parquet'")
+    assert compare(spark, con, name, queries()[name], oracle_sql()[name], many_files) is None
+
+
+def test_undecodable_rows_reach_the_dead_letters(spark, tmp_path):
+    good = '{"timestamp":"2024-01-01T00:00:00Z","level":"INFO","service":"s","message":"m","attrs":"{}","tenant":"t"}'
+    wire = spark.createDataFrame([(good,), ("{broken",), ("plain",), (good.replace('"m"', "null"),)], "value string")
+    batch = sources.decode_events(wire, keep_raw=True)
+    store = LogStore(spark, str(tmp_path / "store"))
+    assert index.index_batch(store, batch, 0, str(tmp_path / "dead")) == 1
+    letters = sinks.read_dead_letters(spark, str(tmp_path / "dead")).collect()
+    assert {r.raw for r in letters} == {"{broken", "plain", good.replace('"m"', "null")}
+    assert sources.undecodable(wire).count() == 3
+
+
+def test_dead_letters_of_a_failed_write_are_stored_later(spark, tmp_path, logs):
+    rows = logs([(1.0, "INFO", "s", "m", "t"), (2.0, "INFO", "s", "n", "t")])
+    store, dead = LogStore(spark, str(tmp_path / "store")), str(tmp_path / "dead")
+
+    class Down:
+        def write(self, _):
+            raise OSError("down")
+
+    assert index.index_batch(Down(), rows, 3, dead, attempts=2, sleep=lambda _: None) == 0
+    assert index.replay_dead_letters(store, dead) == 2
+    assert index.replay_dead_letters(store, dead) == 0
+    assert store.read().count() == 2
+
+
+def test_late_rows_are_counted(spark, tmp_path, logs):
+    late = progress.LateRows()
+    spark.streams.addListener(late)
+    try:
+        stream = file_stream(spark, [logs([(s, "INFO", "s", "m", "t")]) for s in (10_000.0, 20_000.0, 30_000.0, 5.0)], str(tmp_path))
+        counted = stream_stats.rate_stream(stream, "1 minute", "1 second")
+        counted.writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+        for _ in range(50):
+            if late.totals["late"]:
+                break
+            time.sleep(0.1)
+        assert late.totals["late"] == 1
+    finally:
+        spark.streams.removeListener(late)
+
+
+def test_alerts_are_handed_to_a_callback(spark, tmp_path, logs):
+    logs([(1.0, "ERROR", "s", "m", "t"), (2.0, "ERROR", "s", "m", "t")]).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(logs([]).schema).parquet(str(tmp_path / "in"))
+    rules = load_rules(spark, '[{"name":"e","threshold":2,"window_s":10,"cooldown_s":1,"level":"ERROR"}]')
+    got = []
+    stream_alerts.alert_stream(stream, rules, str(tmp_path / "a"), str(tmp_path / "c"), time_mode="arrival", once=True, send=lambda df: got.extend(r.text for r in df.collect())).awaitTermination()
+    assert len(got) == 1

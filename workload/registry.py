@@ -806,14 +806,16 @@ def _stream(spark, sf):
     return t.as_logs(t.table_stream(spark, sf, "events"))
 
 
-def _with_end(spark, sf):
-    """The stream and one far-future event, which moves the watermark past all others."""
-    end = (
-        t.table_stream(spark, sf, "events")
-        .where("event_id = 0")
-        .withColumn("ts", F.expr(f"timestamp_ntz'{FAR}'"))
-    )
-    return t.as_logs(t.table_stream(spark, sf, "events").unionByName(end))
+def _drained(spark, sf, folder, start):
+    """Run the stream over all of the table, then again, on the same checkpoint, over one more file with
+    a far-future event, which moves the watermark past all others."""
+    events, ends = t.table(spark, sf, "events"), f"{folder}/ends"
+    events.limit(0).write.parquet(ends)
+    stream = t.table_stream(spark, sf, "events").unionByName(spark.readStream.schema(events.schema).parquet(ends))
+    start(t.as_logs(stream)).awaitTermination()
+    last = events.where("event_id = 0").withColumn("ts", F.expr(f"timestamp_ntz'{FAR}'"))
+    last.write.mode("append").parquet(ends)
+    start(t.as_logs(stream)).awaitTermination()
 
 
 def _drain(df, spark, label):
@@ -836,9 +838,13 @@ def stream_index(spark, sf):
 @query("stream_alerts", sql(ALERT_SQL))
 def stream_alerts(spark, sf):
     folder = new_folder(spark, "stream-alerts")
-    stream_alerts_.alert_stream(
-        _with_end(spark, sf), t.rules(spark), f"{folder}/alerts", f"{folder}/offsets", once=True
-    ).awaitTermination()
+    # the table's files may come in any order, so the delay covers all of its time
+    span = t.table(spark, sf, "events").agg(F.expr("timestampdiff(second, min(ts), max(ts))")).first()[0] or 0
+
+    def start(logs):
+        return stream_alerts_.alert_stream(logs, t.rules(spark), f"{folder}/alerts", f"{folder}/offsets", delay=f"{span + 1} seconds", once=True)
+
+    _drained(spark, sf, folder, start)
     return sinks.read_alerts(spark, f"{folder}/alerts").where(F.col("timestamp") < F.lit(FAR).cast("timestamp")).select(*alert_cols())
 
 
@@ -857,7 +863,7 @@ def stream_stats(spark, sf):
 
 @query("stream_rate", sql("select tenant, us // 86400000000 * 86400000000 as start_us, count(*) as n from logs group by 1, 2"))
 def stream_rate(spark, sf):
-    rows = _drain(stream_stats_.rate_stream(_with_end(spark, sf), "1 day", "1 hour"), spark, "stream-rate")
-    return rows.select("tenant", F.unix_micros("window.start").alias("start_us"), "n").where(
-        F.col("window.start") < F.lit(FAR).cast("timestamp")
-    )
+    folder = new_folder(spark, "stream-rate")
+    stream_stats_.rate_table(_stream(spark, sf), f"{folder}/rate", f"{folder}/offsets", "1 day", once=True).awaitTermination()
+    rows = stream_stats_.read_rate(spark, f"{folder}/rate")
+    return rows.select("tenant", F.unix_micros("window.start").alias("start_us"), "n")

@@ -22,12 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+FILES_PER_BATCH = 100
+
+
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The same table as a file stream, whether it is one file or a directory of parts."""
     pin_utc(spark)
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jpath).isDirectory():
         return stream.parquet(path)
