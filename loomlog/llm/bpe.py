@@ -26,7 +26,8 @@ from loomlog.llm.token_counts import MAX_VOCAB_BYTES, byte_alphabet
 
 # Fixed value: the pattern by which byte-level vocabularies of this family cut a text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_PIECES = 200_000
+CACHED_PIECES = 150_000
+CACHED_PAIRS = 300_000
 CACHED_LENGTH = 48
 LONG_TEXT = 1 << 20
 _GAP = "\U0010ffff"  # between pieces; no byte maps to it
@@ -95,7 +96,7 @@ class Encoder:
         key = left << 32 | right
         known = self.compatible.get(key)
         if known is None:
-            if len(self.compatible) >= 1_000_000:
+            if len(self.compatible) >= CACHED_PAIRS:
                 self.compatible.clear()
             known = self.compatible[key] = self._stays(left, right)
         return known
