@@ -5,11 +5,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomlog.functions.events import wire_columns
+from loomlog.operators import retention
+from loomlog.operators.alerts import rule_table
 from loomlog.operators.search import search
 from loomlog.plans.archive import Archive, expire_days, read_json_lines, restore
 from loomlog.plans.find import newest
 from loomlog.plans.ingest import ingest_raw, ingest_structured
-from loomlog.plans.store import LogStore, WriteResult
+from loomlog.plans.store import LogStore, WriteResult, store_rows
+from loomlog.sources.rules import parse_rules
+from loomlog.sources.structured import oversize_split
 from loomlog.streaming import sinks
 from loomlog.streaming.index import index_batch
 
@@ -200,12 +204,53 @@ def test_ingest_flow(spark, store):
          ("k2", '{"message":"x"}'), ("nope", '{"message":"x"}'), ("k1", '{"message":"' + "y" * 200 + '"}')],
         "api_key string, body string",
     )
-    raw = spark.createDataFrame([("k1", "WARN disk almost full\nplain info line\n\n")], "api_key string, body string")
+    raw = spark.createDataFrame([("k1", "WARN tape nearly used up\nnothing to see\n\n")], "api_key string, body string")
     events, rejects = ingest_structured(structured, creds, ingest_time=at, max_bytes=150)
     lines, none = ingest_raw(raw, creds, service="legacy", ingest_time=at)
     assert store.write(events.unionByName(lines)).new == 5
     assert {r.tenant for r in store.read().collect()} == {"acme"}
     assert store.read().where("level = 'ERROR'").count() == 1
-    assert messages(search(store.read(), "acme", level="WARNING", service="legacy")) == ["WARN disk almost full"]
+    assert messages(search(store.read(), "acme", level="WARNING", service="legacy")) == ["WARN tape nearly used up"]
     assert sorted(r.reason for r in rejects.collect()) == ["invalid_tenant", "message", "too_large", "unknown_credential"]
     assert none.count() == 0
+
+
+def test_a_write_refuses_events_without_a_time(spark, tmp_path, logs):
+    store = LogStore(spark, str(tmp_path / "s"))
+    rows = logs([(1.0, "INFO", "s", "m", "t")])
+    with pytest.raises(ValueError, match="1 events have no timestamp"):
+        store.write(rows.union(rows.withColumn("timestamp", F.lit(None).cast("timestamp"))))
+    assert not store.exists()
+
+
+def test_attrs_that_do_not_parse_are_kept_as_they_came(spark, tmp_path, logs):
+    store = LogStore(spark, str(tmp_path / "s"))
+    rows = logs([(1.0, "INFO", "s", "m", "t")]).withColumn("attrs", F.lit('{"a":1,"a":2}'))
+    assert (store.write(rows).new, store.write(rows).new) == (1, 0)
+    assert store.read().first().attrs == '{"a":1,"a":2}'
+
+
+def test_a_write_reads_only_its_own_tenant_days(spark, tmp_path, logs):
+    store = LogStore(spark, str(tmp_path / "s"))
+    store.write(logs([(86400.0 * d, "INFO", "s", f"m{d}", t) for d in range(3) for t in ("a", "b", "c")]))
+    batch = store_rows(logs([(86400.0, "INFO", "s", "m1", "b"), (0.0, "INFO", "s", "new", "d")]))
+    spans = batch.groupBy("tenant", "day").agg(F.count("*").alias("n"), F.min(F.unix_micros("timestamp")).alias("lo"), F.max(F.unix_micros("timestamp")).alias("hi")).collect()
+    files = store._known(spark, spans).inputFiles()
+    assert files and all("/tenant=b/day=1970-01-02/" in f for f in files)
+    assert store.write(logs([(86400.0, "INFO", "s", "m1", "b"), (0.0, "INFO", "s", "new", "d")])).new == 1
+
+
+def test_splits_keep_what_cannot_be_decided(spark, logs):
+    rows = logs([(1.0, "INFO", "s", "m", "t")])
+    both = rows.union(rows.withColumn("timestamp", F.lit(None).cast("timestamp")))
+    kept, gone = retention.split(both, retention.event_kept(dt.datetime(2024, 1, 1), 7))
+    assert (kept.count(), gone.count()) == (1, 1)
+    bodies = spark.createDataFrame([("xy",), ("x",), (None,)], "body string")
+    within, beyond = oversize_split(bodies, "body", 1)
+    assert ({r.body for r in within.collect()}, [r.body for r in beyond.collect()]) == ({"x", None}, ["xy"])
+
+
+def test_rules_with_one_name_are_refused(spark):
+    rules = parse_rules(spark.createDataFrame([('[{"name":"a","threshold":1,"window_s":1},{"name":"a","threshold":2,"window_s":1}]',)], "raw string"))
+    with pytest.raises(ValueError, match="named 'a'"):
+        rule_table(rules)

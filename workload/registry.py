@@ -207,7 +207,7 @@ def credential_table(spark, sf):
         "c_custkey",
         F.concat(
             F.lit(" k"), (F.col("c_custkey") % 500).cast("string"), F.lit(" : n"), F.col("c_nationkey").cast("string"),
-            F.lit(":x , junk, :x, y: ,c"), key, F.lit(":"), F.lower("c_mktsegment"),
+            F.lit(":x , stray, :nokey, noname: ,c"), key, F.lit(":"), F.lower("c_mktsegment"),
         ).alias("raw"),
     )
     return credentials.credential_table(texts, order=("c_custkey",))

@@ -59,7 +59,7 @@ CTES = {
         when 0 then '{"message":"' || message || '","level":" warn ","service":"' || service
                     || '","attrs":' || attrs || ',"extra":1}'
         when 1 then '2024-01-01 ' || upper(split_part(message, ' ', 1)) || ' ' || message
-        when 2 then '  {{{ not json ]][ ' || event_id || '  '
+        when 2 then '  <<half {a line [of ' || event_id || '  '
         when 3 then '{"level":"ERROR","note":"' || message || '"}'
         when 4 then '{"message":"' || message || '","level":"verbose"}'
         else '   ' end as line

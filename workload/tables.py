@@ -101,7 +101,7 @@ def as_raw_lines(logs: DataFrame) -> DataFrame:
             F.lit('","attrs":'), "attrs", F.lit(',"extra":1}'),
         ),
         F.concat(F.lit("2024-01-01 "), word, F.lit(" "), "message"),
-        F.concat(F.lit("  {{{ not json ]][ "), F.col("event_id").cast("string"), F.lit("  ")),
+        F.concat(F.lit("  <<half {a line [of "), F.col("event_id").cast("string"), F.lit("  ")),
         F.concat(F.lit('{"level":"ERROR","note":"'), "message", F.lit('"}')),
         F.concat(F.lit('{"message":"'), "message", F.lit('","level":"verbose"}')),
         F.lit("   "),
@@ -170,4 +170,4 @@ def credentials_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     team = F.concat(F.lit("team-"), (F.col("user_id") % 4).cast("string"))
     tenant = F.when(F.col("user_id") % 7 == 0, F.lit("Bad*")).otherwise(team)
     key = F.when(F.col("user_id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit(" k"), uid))
-    return users.select("user_id", F.concat(key, F.lit(": "), tenant, F.lit(" ,junk,:x,y:")).alias("raw"))
+    return users.select("user_id", F.concat(key, F.lit(": "), tenant, F.lit(" ,stray,:nokey,noname:")).alias("raw"))
