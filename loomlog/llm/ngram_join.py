@@ -23,7 +23,7 @@ from loomlog.llm import arrow, words
 from loomlog.session import checkpointed
 
 GRAM, THRESHOLD = 5, 0.8
-TREES, LABEL, RECALL = 16, 8, 0.999
+TREES, LABEL, RECALL = 10, 8, 0.999
 #: Classes of a group that are compared in one task with those of another block, or among themselves.
 BLOCK = 512
 
