@@ -34,7 +34,7 @@ KINDS = {
 }
 ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A text without any of these holds no entity; they are quick to look for.
-_HINT = rf"[0-9@]|[-_][A-Za-z0-9_-]{{16}}|[0-9A-Fa-f]{{32}}|(?:{_TITLES})\.? \p{{Lu}}"
+_HINT = rf"[0-9@]|(?:AKIA|ASIA)[A-Z0-9]{{16}}|[-_][A-Za-z0-9_-]{{16}}|[0-9A-Fa-f]{{32}}|(?:{_TITLES})\.? \p{{Lu}}"
 # Syllables of which surrogate names are made, by script, and their endings by gender.
 SYLLABLES = {
     "latin": ("ba", "be", "da", "do", "fa", "ga", "ka", "la", "le", "ma", "me", "na", "ra", "sa", "te", "vo"),
