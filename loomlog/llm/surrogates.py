@@ -2,7 +2,7 @@
 
 Emails, IPv4 addresses, phone, card and social security numbers, keys, tokens and names after a title
 are found in the text. Each entity is named by its canonical form (letters lower-cased, numbers without
-their signs), and a keyed hash of it draws the surrogate: the same entity gets the same one in every
+their signs but the + of a phone number), and a keyed hash of it draws the surrogate: the same entity gets the same one in every
 spelling and document, a digit stays a digit, a letter a letter of its case, a name keeps gender and script.
 Surrogates of different entities are compared over the whole corpus; where two meet, or one meets a
 real entity, all but one draw again until none do.
@@ -42,6 +42,8 @@ SYLLABLES = {
     "greek": ("βα", "γε", "δα", "ζο", "θα", "κα", "λε", "μα", "νε", "πα", "ρο", "σα", "τε", "φα", "χα", "ψε"),
 }
 ENDINGS = {"latin": ("rin", "lia", "len"), "cyrillic": ("рин", "лия", "лен"), "greek": ("ρος", "λια", "λεν")}
+# The country codes of phone numbers; none begins another, so the digits alone tell where one ends. Signs may stand between.
+_COUNTRY = r"\+(?:[17]|2~[07]|3~[0-469]|4~[013-9]|5~[1-8]|6~[0-6]|8~[1246]|9~[0-58]|[2-9]~[0-9]~[0-9])".replace("~", "[^0-9]*")
 #: Entities that drew again are given to all tasks up to this number; beyond it they are joined.
 MAX_LISTED = 1_000
 #: From this draw on a surrogate also gets more characters, so a small space of forms cannot run out.
@@ -70,12 +72,13 @@ def canonical(value: Column) -> Column:
     """What makes two spellings one entity: the kind, and lower-cased letters or bare digits.
 
     Keys and tokens keep their case. A name counts without its title but with the gender it tells.
+    A phone number keeps a leading +, as the same digits without it are another number.
     """
     def form(kind: Column) -> Column:
         return F.concat_ws(
             ":",
             kind,
-            F.when(kind.isin("ssn", "card", "phone"), F.regexp_replace(value, "[^0-9]", ""))
+            F.when(kind.isin("ssn", "card", "phone"), F.regexp_replace(value, "(?!^[+])[^0-9]", ""))
             .when(kind == "name", F.concat_ws(":", _gender(value).cast("string"), F.lower(_bare(value))))
             .when(kind.isin("key", "token"), value)
             .otherwise(F.lower(value)),
@@ -190,8 +193,8 @@ def surrogate(value: Column, draw: Column, key: str) -> Column:
     top = F.substring_index(domain, ".", -1)
     inner = F.substr(domain, F.lit(1), F.char_length(domain) - F.char_length(top))
     hidden = _let(_drawn(F.concat_ws(":", F.lit("domain"), F.lower(inner)), F.lit(0), key), lambda d: _alike(d, inner))
-    # A phone number keeps its country, a key the letters that tell its kind.
-    front = F.char_length(F.regexp_extract(value, r"^(?:\+[0-9]{1,3}(?=[ .(-])|AKIA|ASIA|[a-z]+[-_])", 0))
+    # A phone number keeps its country, the same digits in every spelling; a key the letters that tell its kind.
+    front = F.char_length(F.regexp_extract(value, rf"^(?:{_COUNTRY}|AKIA|ASIA|[a-z]+[-_])", 0))
 
     def made(drawn: Column) -> Column:
         more = F.when(draw >= LONGER_FROM, F.concat(F.lit("."), draw.cast("string"), F.substr(drawn, F.lit(1), F.lit(8)))).otherwise("")

@@ -80,6 +80,35 @@ def test_every_text_with_an_entity_is_searched(spark):
     assert all(len(r["all"]) == 1 for r in rows) and [r.text for r in rows if r.found != r["all"]] == []
 
 
+#: Spellings of one entity by line.
+SPELLINGS = [
+    ["+1 (988) 555-2485", "+19885552485", "+1-988-555-2485", "+1988 555 2485", "+198 855 52485"],
+    ["+49 30 1234567", "+49301234567", "+493 01234567"],
+    ["+353 1 234 5678", "+35312345678", "+35 312 345 678", "+3 (53) 123 456 78"],
+    ["(988) 555-2485", "988-555-2485", "988.555.2485"],
+    ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"],
+    ["Ann.Lee@Mail.example.com", "ann.lee@mail.EXAMPLE.com"],
+    ["Mr Ivan Petrov", "Herr IVAN PETROV", "Mister. Ivan Petrov"],
+]
+
+
+def test_a_surrogate_is_a_function_of_the_form(spark):
+    rows = [(line, s, draw) for line, spelled in enumerate(SPELLINGS) for s in spelled for draw in range(8)]
+    frame = spark.createDataFrame(rows, "line int, s string, draw int")
+    made = surrogates.surrogate(F.col("s"), F.col("draw"), "key")
+    out = frame.select("*", surrogates.canonical(F.col("s")).alias("form"), made.alias("made"), surrogates.canonical(made).alias("to")).collect()
+    forms = {}
+    for r in out:
+        forms.setdefault((r.line, r.draw), set()).add((r.form, r.to))
+    assert all(len(f) == 1 for f in forms.values()), forms
+    kept = {0: "1", 1: "49", 2: "353"}
+    assert all(re.sub(r"\D", "", r.made).startswith(kept[r.line]) for r in out if r.line in kept)
+    # the same digits with and without + are different numbers
+    plus = spark.createDataFrame([("+55 5123 4567", "555-123-4567")], "a string, b string")
+    a, b = plus.select(surrogates.canonical(F.col("a")), surrogates.canonical(F.col("b"))).first()
+    assert a != b
+
+
 def luhn(number):
     d = [int(c) for c in reversed(re.sub(r"\D", "", number))]
     return sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d)) % 10 == 0
