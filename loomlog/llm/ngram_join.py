@@ -1,12 +1,13 @@
-"""Texts whose sets of word n-grams are alike, by a forest of MinHash prefix tries.
+"""Texts whose sets of word n-grams are alike, found by prefixes of MinHash labels in several trees.
 
 Texts with equal sets are one class, found by a digest of the set; only classes are compared. Each tree
-orders the classes by a label of MinHash values; two classes match in a tree to the depth of their common
-prefix. The depth asked for starts at the full label and is shortened until the trees together find a
-pair at the threshold with the target recall. Classes that share a prefix of that depth meet in a group, and
-there the exact similarity is taken from their sets. A pair that meets in several trees is judged in the
-first one only, so links are counted once without comparing lists of pairs. Large groups are cut
-into blocks, and pairs of blocks are dealt out.
+gives a class a label of MinHash values, of which a prefix is taken, as deep for all classes as the trees
+together still find a pair at the threshold with the target recall; it is known before any data is
+seen, and labels are not sorted. Classes that share a prefix meet in a group, and
+there the exact similarity is taken from their sets. Of groups with the same classes in several trees
+the first one is kept, and a pair that meets in several groups is judged in the first one only, so
+links are counted once without comparing lists of pairs. Large groups are cut into blocks, and pairs
+of blocks are dealt out. A pair that meets in no tree is missed; nothing looks for it afterwards.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from loomlog.llm import arrow, words
 from loomlog.session import checkpointed
 
 GRAM, THRESHOLD = 5, 0.8
-TREES, LABEL, RECALL = 10, 8, 0.999
+TREES, LABEL, RECALL = 20, 8, 0.999999
 #: Classes of a group that are compared in one task with those of another block, or among themselves.
 BLOCK = 512
 
@@ -134,6 +135,16 @@ _MEMBER_NAMES = [f.split()[0] for f in _MEMBERS.split(", ")]
 _MEMBER_TYPES = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[f.split()[1]] for f in _MEMBERS.split(", ")]
 
 
+def _first_groups(met_in: DataFrame) -> DataFrame:
+    """``key`` of the groups without those whose classes are also the group of an earlier tree.
+
+    All pairs of such a group are judged in the earlier one. Groups are alike by a digest of their classes.
+    """
+    digests = [F.bit_xor(F.xxhash64(F.lit(i), "own")).alias(c) for i, c in enumerate(("a", "b"))]
+    known = met_in.groupBy("key", "n").agg(F.min("tree").alias("tree"), *digests)
+    return known.groupBy("n", "a", "b").agg(F.min_by("key", "tree").alias("key")).select("key")
+
+
 def _linked(key: int, i: int, j: int, rows: list[tuple], threshold: float) -> list[tuple[bytes, bytes, int]]:
     """(class, a class of the same local component, number of links found here) for a pair of blocks."""
     sets = [r[0] for r in rows]
@@ -235,7 +246,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram: int
     ``group_id`` is the least doc_id of all documents that links connect. Texts without words (null,
     empty) form one class without links. Repeated rows are copies; rows with a null doc_id are in
     their class, which has a null id if no row of it has one. A pair at the threshold is found with
-    probability ``recall`` or more, a closer one more surely; what is found is exact.
+    probability ``recall`` or more, if MinHash values are independent (the README has measured rates), a
+    closer one more surely; what is found is exact, what is missed stays missed.
     """
     return _joined(docs, doc_id, text, gram, threshold, trees, recall).select("doc_id", "class_id", "copies", "links", "group_id")
 
@@ -258,9 +270,10 @@ def _joined(docs: DataFrame, doc_id: str, text: str, gram: int = GRAM, threshold
     sketched = checkpointed(sketches(docs, doc_id, text, gram, trees, deep))
     # Equal sets have equal keys, so any row speaks for its class.
     classes = checkpointed(sketched.groupBy("set").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.min("own").alias("own"), F.first("keys").alias("keys")))
-    labelled = classes.select("set", "own", F.explode("keys").alias("key"))
+    labelled = classes.select("own", F.posexplode("keys").alias("tree", "key"))
     groups = labelled.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = labelled.join(groups, "key").groupBy("own").agg(F.collect_list(F.struct("key", "n")).alias("groups"))
+    met_in = checkpointed(labelled.join(groups, "key"))
+    wanted = met_in.join(_first_groups(met_in), "key", "left_semi").groupBy("own").agg(F.collect_list(F.struct("key", "n")).alias("groups"))
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     met = rows.withColumn("own", _own()).join(wanted, "own").select("text", "groups")
     members = met.mapInArrow(_members(gram, trees, deep, met.columns), _MEMBERS)

@@ -4,6 +4,7 @@ import itertools
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from edges import edge_docs, none_of
 from pyspark.sql import functions as F
@@ -74,6 +75,22 @@ def test_prefix_is_shortened_until_the_recall_is_reached():
         assert d == 8 or 1 - (1 - threshold ** (d + 1)) ** trees < recall
 
 
+def test_pairs_at_the_threshold_are_found():
+    pairs, n, common = 40_000, 90, 80  # 80 of 100 n-grams in common
+    drawn = np.random.default_rng(5).integers(0, 2**64, size=(pairs, 2 * n - common), dtype=np.uint64)
+    bounds, deep = np.arange(pairs + 1) * n, ngram_join.depth(ngram_join.THRESHOLD)
+    a, b = (ngram_join.prefixes(np.ascontiguousarray(x).ravel(), bounds, ngram_join.TREES, deep) for x in (drawn[:, :n], drawn[:, n - common :]))
+    assert (a == b).any(axis=1).all()
+
+
+def test_groups_of_the_same_classes_are_compared_once(spark):
+    own = "struct<a: long, b: long>"
+    rows = [((c, c), tree, key) for key, tree, of in ((10, 0, "xy"), (21, 1, "xy"), (32, 2, "xyz"), (43, 3, "xz"), (54, 4, "xyz")) for c in map(ord, of)]
+    met = spark.createDataFrame(rows, f"own {own}, tree int, key long")
+    met = met.join(met.groupBy("key").count().withColumnRenamed("count", "n"), "key")
+    assert sorted(r.key for r in ngram_join._first_groups(met).collect()) == [10, 32, 43]
+
+
 def brute_marks(rows, items, width):
     windows = defaultdict(set)
     for i, t in items:
