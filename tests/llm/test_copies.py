@@ -126,6 +126,14 @@ def test_marks_are_those_of_all_windows(spark, monkeypatch, block):
     assert {tuple(r.hit_items) for r in decontaminate.mark(docs, none_of(items)).collect()} == {()}
 
 
+def test_items_without_an_id_mark_words(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "x y z")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "b c"), (7, "c d"), (None, "c d")], "item_id long, text string")
+    told = lambda **kw: {r.doc_id: ([tuple(s) for s in r.spans], r.hit_items) for r in decontaminate.mark(docs, items, **kw).collect()}
+    assert told(unnamed=True) == {1: ([(1, 4)], ["7"]), 2: ([], [])}
+    assert told() == {1: ([(2, 4)], ["7"]), 2: ([], [])}
+
+
 def brute_repeats(rows, width):
     split = [(t or "").encode().split() for _, t in rows]
     at = Counter(tuple(w[k : k + width]) for w in split for k in range(len(w) - width + 1))
