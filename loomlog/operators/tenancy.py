@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.operators.slices import SLICE_US, running, slice_of
@@ -53,13 +53,20 @@ def rate_limit(
 
     A key's window opens at its first hit and the next one at the first hit a window later,
     so windows are anchored at hits and not at the clock. ``seq`` orders hits of one instant.
+    Hits of one instant are counted first; they are numbered only where the limit falls among them.
     """
-    points = hits.select(key, at).distinct().withColumn("_gap", F.lit(window_us).cast("long"))
+    counts = hits.groupBy(key, at).agg(F.count("*").alias("_n"))
+    points = counts.select(key, at, F.lit(window_us).cast("long").alias("_gap"))
     opens = spaced(points, [key], at, "_gap", fold_max, width).withColumn("_open", F.lit(True))
-    # hits of the opening instant all carry the mark; the first of them counts from the lowest rank
-    marked = hits.join(opens, [key, at], "left").withColumn("_slice", slice_of(F.col(at), width))
-    ranked = running(marked, [key], "_slice", [at, seq], F.lit(1).cast("long"), "_rank")
-    first = F.when(F.col("_open"), F.struct(F.col(at).alias("at"), (-F.col("_rank")).alias("neg")))
-    placed = running(ranked, [key], "_slice", [at, seq], first, "_window", fold=F.max)
-    place = F.col("_rank") + F.col("_window.neg") + 1
-    return placed.withColumn("allowed", place <= limit).drop("_open", "_slice", "_rank", "_window")
+    marked = counts.join(opens, [key, at], "left").withColumn("_slice", slice_of(F.col(at), width))
+    summed = running(marked, [key], "_slice", [at], F.col("_n"), "_upto")
+    # how many hits precede the instant that opened the window
+    first = F.when(F.col("_open"), F.struct(F.col(at).alias("at"), (F.col("_n") - F.col("_upto")).alias("neg")))
+    placed = running(summed, [key], "_slice", [at], first, "_window", fold=F.max)
+    left = F.lit(limit) - (F.col("_upto") - F.col("_n") + F.col("_window.neg"))
+    told = hits.join(placed.select(key, at, "_n", left.alias("_left")), [key, at])
+    within = F.col("_left").between(1, F.col("_n") - 1)
+    whole = told.where(~within).withColumn("allowed", F.col("_left") >= F.col("_n"))
+    place = F.row_number().over(Window.partitionBy(key, at).orderBy(seq))
+    cut = told.where(within).withColumn("allowed", place <= F.col("_left"))
+    return whole.unionByName(cut).drop("_n", "_left")

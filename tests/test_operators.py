@@ -122,6 +122,21 @@ def test_rate_limit(spark, fold_max, width):
     assert {r.id: r.allowed for r in rows} == limiter(hits, 3, 20)
 
 
+def test_rate_limit_runs_over_instants(spark, monkeypatch):
+    hits = [("a", us, i) for us in (5, 7, 40) for i in range(us * 100, us * 100 + 50)] + [("b", 5, 9_000)]
+    df = spark.createDataFrame(hits, "key string, us long, id long")
+    handed = []
+
+    def spy(rows, keys, *args, **settings):
+        handed.append(rows.count() == rows.select(*keys, "us").distinct().count())
+        return running(rows, keys, *args, **settings)
+
+    monkeypatch.setattr(tenancy, "running", spy)
+    rows = tenancy.rate_limit(df, "key", "us", "id", 70, 20).collect()
+    assert handed and all(handed)
+    assert {r.id for r in rows if r.allowed} == {*range(500, 550), *range(700, 720), *range(4000, 4050), 9_000} and len(rows) == 151
+
+
 def test_rate_limit_example(spark):
     df = spark.createDataFrame([("k", u, i) for i, u in enumerate([0, 1, 2, 10, 11])], "key string, us long, id long")
     rows = tenancy.rate_limit(df, "key", "us", "id", 2, 10).orderBy("id").collect()
