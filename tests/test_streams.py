@@ -305,3 +305,9 @@ def test_alerts_are_handed_to_a_callback(spark, tmp_path, logs):
     got = []
     stream_alerts.alert_stream(stream, rules, str(tmp_path / "a"), str(tmp_path / "c"), time_mode="arrival", once=True, send=lambda df: got.extend(r.text for r in df.collect())).awaitTermination()
     assert len(got) == 1
+
+
+def test_registered_alerts_need_no_event_zero(spark, tmp_path):
+    spark.read.parquet(f"{SF}/events.parquet").where("event_id > 5").write.parquet(f"{tmp_path}/events.parquet")
+    batch, stream = (sorted(map(tuple, queries()[q](spark, str(tmp_path)).collect())) for q in ("alerts", "stream_alerts"))
+    assert batch and batch == stream

@@ -813,8 +813,10 @@ def _drained(spark, sf, folder, start):
     events.limit(0).write.parquet(ends)
     stream = t.table_stream(spark, sf, "events").unionByName(spark.readStream.schema(events.schema).parquet(ends))
     start(t.as_logs(stream)).awaitTermination()
-    last = events.where("event_id = 0").withColumn("ts", F.expr(f"timestamp_ntz'{FAR}'"))
+    last = events.orderBy(F.col("event_id").asc_nulls_last()).limit(1).withColumn("ts", F.expr(f"timestamp_ntz'{FAR}'"))
     last.write.mode("append").parquet(ends)
+    if spark.read.parquet(ends).isEmpty() and not events.isEmpty():
+        raise RuntimeError("no end marker was written")
     start(t.as_logs(stream)).awaitTermination()
 
 
