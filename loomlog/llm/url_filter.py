@@ -7,6 +7,7 @@ distrusted too. A page that no rule fits is judged by its host's balance of both
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +24,7 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 MAX_RULES = 2_000  # rules become part of the plan; a larger set is refused, not cut
-DAMPING, ROUNDS, ENOUGH = 0.85, 30, 1e-6
+DAMPING, ENOUGH = 0.85, 1e-6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
@@ -72,13 +73,24 @@ def edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     return out.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("n"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, enough: float = ENOUGH) -> DataFrame:
+def rounds_for(damping: float, enough: float) -> int:
+    """Rounds after which the ranks move by less than ``enough``, on any links.
+
+    Trust and distrust move by at most 2 in all in the first round each, and by a share of ``damping`` of it in each further one.
+    """
+    return max(1, math.ceil(math.log(enough / 4) / math.log(damping)) + 2)
+
+
+ROUNDS = rounds_for(DAMPING, ENOUGH)
+
+def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, enough: float = ENOUGH) -> DataFrame:
     """``host, trust, distrust`` from ``seeds`` (host, trusted, blocked: weights of 0 or more) and ``edges``.
 
     Trust follows the links, distrust goes against them; both begin with, and return to, their seeds,
     and each sums to 1 if there is a seed. What reaches a host without a way on returns to the seeds.
     Every round joins by host and sums before it shuffles; it is written to the shared folder, so a
-    lost executor costs one round. It ends once the ranks move by less than ``enough`` in all.
+    lost executor costs one round. It ends once the ranks move by less than ``enough`` in all, and
+    raises if they still move by more after ``rounds_for`` rounds.
     """
     hosts = seeds.select("host").union(links.select("src")).union(links.select("dst")).distinct()
     sums = seeds.agg(F.sum("trusted").alias("t"), F.sum("blocked").alias("b")).first()
@@ -89,7 +101,7 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, roun
     back = links.join(links.groupBy("dst").agg(F.sum("n").alias("all")), "dst").select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("along"), (F.col("n") / F.col("all")).alias("against"))
     ways = checkpointed(there.unionByName(back))
     ranks = base.select("host", F.col("s").alias("trust"), F.col("d").alias("distrust"))
-    for _ in range(rounds):
+    for _ in range(rounds_for(damping, enough)):
         sent = ranks.join(ways, "host").groupBy(F.col("to").alias("host")).agg(F.sum(F.col("trust") * F.col("along")).alias("t"), F.sum(F.col("distrust") * F.col("against")).alias("b"))
         got = base.join(sent, "host", "left").na.fill(0.0, ["t", "b"])
         lost = got.agg((F.lit(1.0) - F.sum("t")).alias("t"), (F.lit(1.0) - F.sum("b")).alias("b")).first()
@@ -105,6 +117,8 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, roun
         ranks = new
         if (moved or 0.0) < enough:
             break
+    else:
+        raise RuntimeError("trust and distrust did not converge")
     return ranks
 
 

@@ -36,6 +36,20 @@ def test_hosts_paths_and_the_longest_rule(spark):
     assert url_filter.judge(none_of(pages(spark, [(1, "", "")]))).collect() == []
 
 
+def test_trust_reaches_hosts_beyond_thirty_links(spark):
+    hosts = [f"h{i:02d}" for i in range(35)]
+    links = spark.createDataFrame([(a, b, 1.0) for a, b in zip(hosts, hosts[1:])], "src string, dst string, n double")
+    seeds = spark.createDataFrame([(hosts[0], 1.0, 0.0)], "host string, trusted double, blocked double")
+    ranks = url_filter.propagate(seeds, links, enough=4e-3).collect()
+    assert len(ranks) == 35 and all(r.trust > 0 for r in ranks)
+
+
+def test_rounds_are_enough_for_the_bound():
+    for damping, enough in ((0.85, 1e-6), (0.5, 1e-3), (0.99, 1e-6)):
+        assert 4 * damping ** url_filter.rounds_for(damping, enough) < enough
+    assert url_filter.ROUNDS == url_filter.rounds_for(url_filter.DAMPING, url_filter.ENOUGH)
+
+
 def brute_ranks(seeds, links, rounds=url_filter.ROUNDS):
     out = []
     for mine, arcs in ((0, links), (1, {(b, a): n for (a, b), n in links.items()})):
