@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from re import Pattern
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,15 @@ def row_ranges(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[
         lo = hi
 
 
+def cut(text: str, boundary: Pattern, limit: int) -> Iterator[str]:
+    """The text in parts of about ``limit`` characters, each ending where ``boundary`` matches; longer if it does not."""
+    at = 0
+    while len(text) - at > limit and (found := boundary.search(text, at + limit)):
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
+
+
 def appended(
     df: DataFrame,
     text: str,

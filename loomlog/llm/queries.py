@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import bpe, decontaminate, ngram_join, quality_model, substrings, surrogates, token_counts, url_filter, warc, weak_rules
+from loomlog.llm import (
+    bpe, decontaminate, ngram_join, quality_model, rank_bpe, spelling, substrings, surrogates, target_sampling, token_counts, url_filter,
+    warc, weak_rules,
+)
 from loomlog.session import checkpointed
 
 SURROGATE_KEY = "corpus-2024"  # for the registered queries; a real run brings a secret of its own
-#: Where the public vocabulary lies; read on the driver only.
-BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
+#: Where the public vocabularies lie; read on the driver only.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +95,28 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    drawn = target_sampling.resample(docs, target, share=(25, 100), least_words=20, seed="7", buckets=10_000)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = spelling.word_counts(table(spark, sf_dir, "documents"), one_in=97)
+    return spelling.variants(counted.where("n >= 3"))
+
+
+def rank_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = rank_bpe.read_ranks(BYTE_RANKS, public_tokenizers.PATTERN)
+    encoded = rank_bpe.encode(table(spark, sf_dir, "documents"), told, keep=["doc_id"])
+    return rank_bpe.decode(encoded, told).select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_token_counts": token_count,
     "op2_ngram_jaccard_join": ngram_jaccard_join,
@@ -101,4 +128,7 @@ QUERIES = {
     "op8_warc": warc_round_trip,
     "op9_quality_rules": quality_rules,
     "op10_bpe": bpe_round_trip,
+    "op11_target_resampling": target_resampling,
+    "op12_spelling_variants": spelling_variants,
+    "op13_rank_bpe": rank_bpe_round_trip,
 }
