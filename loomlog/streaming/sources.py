@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.schema import LOG_SCHEMA
+from loomlog.sources import growing
 from loomlog.sources.raw import parse_lines
 
 
@@ -76,8 +77,27 @@ def tail(
     tenant: Column | None = None,
 ) -> DataFrame:
     """Events from log files as they appear in a directory. With ``started``, only files
-    modified since. A file must be complete when it appears (written elsewhere, then moved)."""
+    modified since. A file must be complete when it appears (written elsewhere, then moved); for
+    files that grow there is ``follow``."""
     lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
     if started is not None:
         lines = lines.where(F.col("_metadata.file_modification_time") >= F.lit(started))
     return parse_lines(lines, service=service, tenant=tenant)
+
+
+def follow(
+    spark: SparkSession,
+    path: str,
+    service: str = "shipper",
+    from_end: bool = False,
+    pattern: str = "*",
+    tenant: Column | None = None,
+    split_bytes: int = growing.SPLIT_BYTES,
+) -> DataFrame:
+    """Events from log files below ``path`` that are still being written: every line once, when it
+    has its line end, after a restart too. With ``from_end`` only lines that end after the start of the
+    stream; files that come later count from their beginning, as does a file that has become shorter. A
+    file that was replaced by a longer one under its name is taken as grown. All workers must reach ``path``."""
+    growing.register(spark)
+    options = {"path": path, "pattern": pattern, "from_end": str(from_end).lower(), "split_bytes": str(split_bytes)}
+    return parse_lines(spark.readStream.format(growing.FORMAT).options(**options).load(), service=service, tenant=tenant)

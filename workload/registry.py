@@ -165,6 +165,44 @@ def tail_dir(spark, sf):
     return spark.read.parquet(f"{out}/rows").select("level", "service", "message", "attrs", "tenant")
 
 
+def _grown(spark, whole, live, share):
+    """Bring the files below ``live`` to a share of those below ``whole``, mostly in the middle of a line."""
+    paths = spark.read.format("binaryFile").load(whole).select("path")
+
+    def copy(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(live) if "://" in live or live.startswith("file:") else (fs.LocalFileSystem(), live)
+        files.create_dir(root)
+        for batch in batches:
+            for path in batch["path"]:
+                source, name = fs.FileSystem.from_uri(path)
+                with source.open_input_file(name) as f, files.open_output_stream(f"{root}/{name.rsplit('/', 1)[1]}") as out:
+                    left = int(f.size() * share)
+                    while left and (data := f.read(min(left, 1 << 20))):
+                        out.write(data)
+                        left -= len(data)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    paths.mapInPandas(copy, "n long").agg(F.sum("n")).collect()
+
+
+@query(
+    "tail_growing",
+    sql(f"select level, service, message, attrs, tenant from ({LINES_SQL.replace('legacy', 'shipper').replace('tenant from', chr(39) + 'default' + chr(39) + ' as tenant from')})"),
+)
+def tail_growing(spark, sf):
+    # two batches and a restart: the files are cut at four tenths of their bytes, then at nine, then whole
+    whole, live, out = _text_folder(spark, t.raw_lines(spark, sf).select("value"), "whole"), new_folder(spark, "live"), new_folder(spark, "follow")
+    for share in (0.4, 0.9, 1):
+        _grown(spark, whole, live, share)
+        stream_sources.follow(spark, live).writeStream.format("parquet").option("checkpointLocation", f"{out}/offsets").trigger(
+            availableNow=True
+        ).start(f"{out}/rows").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("level", "service", "message", "attrs", "tenant")
+
+
 @query(
     "load_rules",
     sql(
