@@ -67,3 +67,40 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
 def path_exists(spark: SparkSession, path: str) -> bool:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+
+
+def folders(spark: SparkSession, path: str, pattern: str) -> list[str]:
+    """Names of the first level below ``path`` of what matches ``pattern`` there."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    depth = pattern.count("/")
+    out = []
+    for status in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, pattern)) or []:
+        found = status.getPath()
+        for _ in range(depth):
+            found = found.getParent()
+        out.append(found.getName())
+    return out
+
+
+def remove_folder(spark: SparkSession, path: str, recursive: bool = True) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, recursive)
+
+
+def files_below(spark: SparkSession, path: str, suffix: str = "") -> list[str]:
+    """Names of the files in a folder, or none if there is no such folder."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(root)]
+    return [n for n in names if n.endswith(suffix) and n[0] not in "._"]
+
+
+def set_order(spark: SparkSession, path: str, names: list[str], after: int = 0) -> None:
+    """Date files a second apart in the given order, as a file stream takes the oldest first."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for i, name in enumerate(names, after):
+        files.setTimes(spark._jvm.org.apache.hadoop.fs.Path(root, name), 1_600_000_000_000 + 1000 * i, -1)

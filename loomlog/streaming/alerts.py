@@ -1,119 +1,75 @@
-"""The alert stream: rules over events as they come, state per (rule, tenant).
-
-Event mode waits until the watermark has passed an event before it counts it, so events are
-counted in time order and the result is that of the batch plan; events later than the
-watermark are left out here (never in the store), so ``delay`` must cover the disorder of the
-source; progress.LateRows counts what it did not cover. Arrival mode counts at once and takes the
-time of the micro-batch for all its events.
+"""The alert stream: rules over events as they come, with no group per (rule, tenant) in any task.
+
+Event mode counts hits per instant in Spark's own state, which spreads over all tasks, until the watermark has
+passed the instant; so a micro-batch brings the final counts of the next stretch of time. They
+meet the hits that windows still reach back to and the last fires, both small tables beside the
+alerts, and go through the same operators as a batch: sliced running counts, then spacing. Events
+later than the watermark are left out here (never in the store), so ``delay`` must cover the
+disorder of the source; progress.LateRows counts what it did not cover. Arrival mode takes the time
+of the micro-batch for all its events.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from loomlog.operators.alerts import alert_rows, match_rules, rule_table
-from loomlog.streaming.sinks import append_alerts, notify
-
-_OUT = "rule string, tenant string, us bigint"
-_EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
-_STATE = "recent array<bigint>, fired bigint, pending array<bigint>"
-
-
-def _stepper(limits: dict, by_event: bool):
-    """The state function. Nested, so that it travels to the workers by value."""
-
-    def step(key, frames, state):
-        import numpy as np
-        import pandas as pd
-
-        rule, tenant = key
-        threshold, window, cooldown = limits[rule]
-        recent, fired, pending = state.get if state.exists else ([], None, [])
-        hits = [np.asarray(pending, dtype=np.int64)]
-        hits += [frame["us"].to_numpy(dtype=np.int64) for frame in frames]
-        hits = np.sort(np.concatenate(hits))
-
-        if by_event:
-            settled = np.searchsorted(hits, state.getCurrentWatermarkMs() * 1000, "right")
-        else:
-            settled = len(hits)
-        ready, pending = hits[:settled], hits[settled:]
-
-        # a time is a candidate if the threshold-th latest hit up to it lies in the window
-        line = np.concatenate([np.asarray(recent, dtype=np.int64), ready])
-        last = np.arange(max(len(recent), threshold - 1), len(line))
-        within = line[last] - line[last - threshold + 1] <= window
-        ripe = np.unique(line[last[within]])
-        out, at = [], 0
-        while True:
-            if fired is not None:
-                at = np.searchsorted(ripe, fired + max(cooldown, 1), "left")
-            if at >= len(ripe):
-                break
-            fired = int(ripe[at])
-            out.append(fired)
-
-        # threshold hits decide, and hits out of the window never count again
-        if len(line):
-            line = line[-threshold:]
-            line = line[line >= line[-1] - window]
-        if not len(line) and not len(pending):
-            state.remove()
-        else:
-            state.update((line.tolist(), fired, pending.tolist()))
-            if by_event:
-                idle = int(line[-1]) + window if len(line) else 0
-                wake = int(pending[0]) if len(pending) else max(idle, (fired or 0) + cooldown)
-                state.setTimeoutTimestamp(max(wake // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-            else:
-                now = state.getCurrentProcessingTimeMs()
-                wake = max(int(line[-1]) + window, (fired or 0) + cooldown) // 1000 + 1
-                state.setTimeoutDuration(max(wake - now, 1))
-        yield pd.DataFrame({"rule": [rule] * len(out), "tenant": [tenant] * len(out), "us": out})
-
-    def on_call(key, frames, state):
-        import pandas as pd
-
-        if state.hasTimedOut:
-            _, _, pending = state.get
-            if not len(pending):  # idle past window and cooldown: it would start afresh anyway
-                state.remove()
-                yield pd.DataFrame({"rule": [], "tenant": [], "us": []})
-                return
-            frames = iter(())
-        yield from step(key, frames, state)
-
-    return on_call
-
-
-def fire_stream(events: DataFrame, rules: DataFrame, time_mode: str = "event", delay: str = "10 seconds") -> DataFrame:
-    """(rule, tenant, us) as rules fire. Give time_mode "event" or "arrival".
-
-    Only keys and times are shuffled. The part of one micro-batch that a hot tenant takes is
-    bounded by the source's per-trigger limit, and its state by the threshold and the delay.
+from loomlog.operators.slices import counts_at
+from loomlog.operators.spaced import spaced
+from loomlog.session import pin_utc
+from loomlog.streaming.parts import Versions
+from loomlog.streaming.sinks import Outbox, append_alerts
+
+_KEYS = ["rule", "tenant"]
+_HITS = "rule string, tenant string, us long, hits long"
+_FIRED = "rule string, tenant string, us long"
+
+
+class AlertState:
+    """What the next micro-batch needs of those before it: hits that a window may still reach, and
+    last fires whose cooldown may still run. Each batch writes a version of its own, so a
+    batch that is run again starts from the same state; old keys are left out of the next version."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.hits = Versions(spark, f"{path}/hits", _HITS)
+        self.fired = Versions(spark, f"{path}/fired", _FIRED)
+
+    def step(self, new: DataFrame, first: int, last: int, rules: DataFrame, batch_id: int) -> DataFrame:
+        """(rule, tenant, us) that fire among ``new`` (rule, tenant, us, hits), which reach from ``first`` to
+        ``last`` and are later than all before."""
+        limits = rule_table(rules).select("rule", "threshold", "window_us", "cooldown_us")
+        line = self.hits.before(batch_id).unionByName(new.select(*_KEYS, "us", "hits")).join(limits, "rule")
+        # a window reaches back over the boundary at most by its own length
+        self.hits.write(line.where(F.col("us") >= last - F.col("window_us")).select(*_KEYS, "us", "hits"), batch_id)
+        counted = counts_at(line, _KEYS, "us", "hits", F.col("us") - F.col("window_us")).where(F.col("us") >= first)
+        n = F.col("upto") - F.coalesce("below", F.lit(0))
+        ready = counted.select(*_KEYS, "us", n.alias("n")).join(limits, "rule").where("n >= threshold")
+        earlier = self.fired.before(batch_id).join(limits, "rule")
+        columns = [*_KEYS, "us", "cooldown_us"]
+        taken = spaced(ready.select(*columns).unionByName(earlier.select(*columns)), _KEYS, "us", "cooldown_us").persist()
+        last_fires = taken.groupBy(*_KEYS).agg(F.max("us").alias("us")).join(limits, "rule")
+        self.fired.write(last_fires.where(F.col("us") + F.col("cooldown_us") > last).select(*_KEYS, "us"), batch_id)
+        return taken.where(F.col("us") >= first)
+
+
+def hit_stream(events: DataFrame, rules: DataFrame, time_mode: str = "event", delay: str = "10 seconds") -> DataFrame:
+    """(rule, tenant, us, hits) of every instant with a match, once it is final. Give time_mode "event" or "arrival".
+
+    The state has a cell per (rule, tenant, instant) that the watermark has not passed; cells are dealt by
+    all three, so a hot tenant is spread.
     """
     by_event = {"event": True, "arrival": False}[time_mode]
-    rules = rule_table(rules)
-    limits = {
-        r.rule: (r.threshold, r.window_us, r.cooldown_us)
-        for r in rules.select("rule", "threshold", "window_us", "cooldown_us").collect()
-    }
     slim = events.select("timestamp", "tenant", "level", "service")
-    if by_event:
-        slim = slim.withWatermark("timestamp", delay)
-        us = F.unix_micros("timestamp")
-    else:
-        us = F.unix_micros(F.current_timestamp())
-    matched = match_rules(slim, rules).select("rule", "tenant", "timestamp", us.alias("us"))
-    timeout = GroupStateTimeout.EventTimeTimeout if by_event else GroupStateTimeout.ProcessingTimeTimeout
-    return matched.groupBy("rule", "tenant").applyInPandasWithState(
-        _stepper(limits, by_event), _OUT, _STATE, "append", timeout
-    )
+    if not by_event:
+        us = F.unix_micros(F.current_timestamp()).alias("us")
+        return match_rules(slim, rules).select(*_KEYS, us, F.lit(1).cast("long").alias("hits"))
+    matched = match_rules(slim.withWatermark("timestamp", delay), rules)
+    counted = matched.groupBy(*_KEYS, "timestamp").agg(F.count("*").alias("hits"))
+    return counted.select(*_KEYS, F.unix_micros("timestamp").alias("us"), "hits")
 
 
 def alert_stream(
@@ -129,31 +85,52 @@ def alert_stream(
     send: Callable[[DataFrame], None] | None = None,
 ) -> StreamingQuery:
     """Alerts into a table, each once, and a notification for each: written below
-    ``notifications``, or handed to ``send`` batch by batch."""
+    ``notifications``, or handed to ``send``. With ``send``, ``notifications`` (by default beside the checkpoint) is an
+    outbox: a batch whose send fails stays in it and is tried again with the batches after it.
+
+    The state lies below ``checkpoint`` and belongs to it.
+    """
+    spark = events.sparkSession
+    pin_utc(spark)
     rules = rule_table(rules)
 
-    def store(fired: DataFrame, batch_id: int) -> None:
-        alerts = alert_rows(fired, rules).persist()  # stored and notified from one evaluation
-        append_alerts(alerts, path)
-        if notifications or send:
-            notify(alerts, notifications, batch_id, send)
-        alerts.unpersist()
+    def store(hits: DataFrame, batch_id: int) -> None:
+        own = hits.sparkSession  # the batch's own session
+        if time_mode == "arrival":
+            hits = hits.groupBy(*_KEYS, "us").agg(F.sum("hits").alias("hits"))
+        hits = hits.persist()  # looked at for the boundary, the counts and the state
+        box = outbox(own, checkpoint, notifications) if notifications or send else None
+        try:
+            first, last = hits.agg(F.min("us"), F.max("us")).first()
+            if last is not None:
+                fired = AlertState(own, f"{checkpoint}-state").step(hits, first, last, rules, batch_id)
+                alerts = alert_rows(fired, rules).persist()
+                if box:
+                    box.put(alerts, batch_id)  # first, so that no stored alert lacks its notification
+                append_alerts(alerts, path)
+                alerts.unpersist()
+            if send:
+                box.deliver(send)
+        finally:
+            hits.unpersist()
 
     trigger = {"availableNow": True} if once else {"processingTime": every}
-    writer = (
-        fire_stream(events, rules, time_mode, delay)
+    return (
+        hit_stream(events, rules, time_mode, delay)
         .writeStream.outputMode("append")
         .foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
+        .start()
     )
-    conf = events.sparkSession.conf
-    kept = conf.get(_EMPTY_BATCHES)
-    if once and time_mode == "arrival":
-        # a timeout by the clock asks for one more empty batch for ever; a run that is to end
-        # goes without, and the next run with data does the evictions
-        conf.set(_EMPTY_BATCHES, "false")
-    try:
-        return writer.start()  # takes its own copy of the settings
-    finally:
-        conf.set(_EMPTY_BATCHES, kept)
+
+
+def alert_state(spark: SparkSession, checkpoint: str) -> tuple[DataFrame, DataFrame]:
+    """The hits and the last fires that an alert stream remembers now."""
+    state = AlertState(spark, f"{checkpoint}-state")
+    return state.hits.last(), state.fired.last()
+
+
+def outbox(spark: SparkSession, checkpoint: str, path: str | None = None) -> Outbox:
+    """The notifications of an alert stream that wait to be sent."""
+    return Outbox(spark, path or f"{checkpoint}-outbox")

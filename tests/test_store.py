@@ -180,20 +180,9 @@ def test_alert_table_takes_each_alert_once(spark, tmp_path):
     assert sinks.append_alerts(one, path).count() == 1
     other = one.withColumn("tenant", F.lit("u"))
     assert sinks.append_alerts(one.unionByName(other), path).count() == 2
-
-
-def test_notifications(spark, tmp_path):
-    df = spark.createDataFrame([("m", "t")], "message string, tenant string")
-    sinks.notify(df, str(tmp_path / "n"), 0)
-    assert spark.read.text(str(tmp_path / "n/batch=0")).first().value == ":rotating_light: m (tenant=t)"
-    sent = []
-    sinks.notify(df, "", 1, send=lambda texts: sent.extend(r.text for r in texts.collect()))
-    assert sent == [":rotating_light: m (tenant=t)"]
-
-    def broken(texts):
-        raise OSError("hook is away")
-
-    sinks.notify(df, "", 2, send=broken)
+    later = one.withColumn("timestamp", F.col("timestamp") + F.expr("interval 3 days"))
+    assert sinks.append_alerts(one.unionByName(later), path).count() == 3
+    assert sinks.append_alerts(one.limit(0), path).count() == 3
 
 
 def test_ingest_flow(spark, store):

@@ -101,61 +101,85 @@ def test_restart_keeps_state_and_replay_adds_no_alert(spark, logs, tmp_path):
     assert [r.message for r in rows] == ["r: 3 matching events within 10s"]
 
 
-class State:
-    """A group's state as the state function sees it."""
+def state_of(spark, tmp_path, name="q"):
+    hits, fired = stream_alerts.alert_state(spark, str(tmp_path / f"{name}-offsets"))
+    return hits.orderBy("us").collect(), fired.collect()
 
-    def __init__(self):
-        self.value, self.hasTimedOut, self.timeout, self.wm = None, False, None, 0
 
-    exists = property(lambda self: self.value is not None)
-    get = property(lambda self: self.value)
-
-    def update(self, value):
-        self.value = value
-
-    def remove(self):
-        self.value = self.timeout = None
-
-    def getCurrentWatermarkMs(self):
-        return self.wm
-
-    def setTimeoutTimestamp(self, ms):
-        assert ms > self.wm
-        self.timeout = ms
-
-
-def run_key(limits, steps):
-    """steps: (watermark seconds, hit seconds). Timeouts are delivered as Spark would."""
-    import pandas as pd
-
-    fn, state, fired, states = stream_alerts._stepper({"r": limits}, True), State(), [], []
-    for wm, seconds in steps:
-        state.wm, state.hasTimedOut = int(wm * 1000), False
-        frames = []
-        if seconds:
-            frames = [pd.DataFrame({"us": [int(s * 1e6) for s in seconds]})]
-        elif state.timeout is not None and state.wm > state.timeout:
-            state.hasTimedOut = True
-        else:
-            continue
-        for out in fn(("r", "t"), iter(frames), state):
-            fired += [u / 1e6 for u in out.us]
-        states.append(state.value)
-    return fired, states
-
-
-def test_state_is_bounded_and_evicted():
-    limits = (3, 10_000_000, 100_000_000)
-    fired, states = run_key(limits, [(0, range(0, 50)), (60, ()), (200, ()), (500, ())])
-    assert fired == [2.0]
-    assert len(states[1][0]) == 3  # not 50
-    assert states[-1] is None  # idle past window and cooldown
-
-
-def test_state_survives_until_cooldown_is_over():
-    limits = (1, 1_000_000, 100_000_000)
-    fired, states = run_key(limits, [(0, [5]), (6, ()), (50, ()), (55, [60]), (70, ()), (300, ())])
-    assert fired == [5.0] and states[-1] is None
+def test_state_holds_only_what_windows_and_cooldowns_reach(spark, logs, tmp_path):
+    rules = [("r", 3, 10.0, 100.0, None, None)]
+    batches = [hits(*range(50)), hits(60), hits(62), hits(400, tenant="other")]
+    assert drain_alerts(spark, logs, tmp_path, batches, rules, delay="1 second") == [("r", "acme", 2.0)]
+    # counted up to 399 seconds: the last instant below is 62
+    held, fired = state_of(spark, tmp_path)
+    assert [r.us / 1e6 - BASE for r in held] == [60.0, 62.0] and [(r.rule, r.us / 1e6 - BASE) for r in fired] == [("r", 2.0)]
+
+
+def test_idle_keys_leave_the_state(spark, logs, tmp_path):
+    rules = [("r", 1, 1.0, 100.0, None, None)]
+    batches = [hits(5), hits(60), hits(110), hits(300, tenant="other"), hits(900, tenant="other")]
+    got = drain_alerts(spark, logs, tmp_path, batches, rules, delay="1 second")
+    assert got == [("r", "acme", 5.0), ("r", "acme", 110.0), ("r", "other", 300.0)]
+    held, fired = state_of(spark, tmp_path)
+    assert [r.tenant for r in held] == ["other"] and [r.tenant for r in fired] == ["other"]
+
+
+def test_a_batch_that_is_run_again_starts_from_the_same_state(spark, logs, tmp_path):
+    rules = rules_df(spark, [("r", 2, 10.0, 5.0, None, None)])
+    state = stream_alerts.AlertState(spark, str(tmp_path / "state"))
+
+    def step(times, batch_id):
+        new = spark.createDataFrame([("r", "t", int(s * 1e6), 1) for s in times], "rule string, tenant string, us long, hits long")
+        return sorted(r.us / 1e6 for r in state.step(new, int(min(times) * 1e6), int(max(times) * 1e6), rules, batch_id).collect())
+
+    assert step([1, 2, 3], 4) == [2]
+    for _ in range(2):
+        assert step([6, 7, 8], 7) == [7]
+    assert step([12], 8) == [12]
+    assert step([100, 101], 9) == [101]
+    assert len(os.listdir(tmp_path / "state" / "hits")) == 2
+
+
+def test_failed_sends_wait_in_the_outbox(spark, tmp_path):
+    box = sinks.Outbox(spark, str(tmp_path / "box"))
+    for i in range(3):
+        box.put(spark.createDataFrame([(f"m{i}", "t")], "message string, tenant string"), i)
+    got, refused = [], iter([True])
+
+    def send(texts):
+        rows = [r.text for r in texts.collect()]
+        if "m1" in rows[0] and next(refused, False):
+            raise OSError("away")
+        got.extend(rows)
+
+    assert box.deliver(send) == 1 and box.waiting() == [1, 2]
+    assert box.deliver(send) == 2 and box.waiting() == []
+    assert got == [f":rotating_light: m{i} (tenant=t)" for i in range(3)]
+    assert box.deliver(send) == 0
+
+
+def test_parts_are_rolled_up(spark, tmp_path):
+    from loomlog.streaming.parts import Parts
+
+    parts = Parts(spark, str(tmp_path / "p"), "k string, n long", lambda df: df.groupBy("k").agg(F.sum("n").alias("n")), every=3)
+    for i in range(20):
+        for _ in range(1 + i % 2):  # some batches come again
+            parts.write(spark.createDataFrame([(f"k{i % 2}", i), ("all", 1)], "k string, n long").coalesce(1), i)
+        want = {"all": i + 1, "k0": sum(range(0, i + 1, 2))} | ({"k1": sum(range(1, i + 1, 2))} if i else {})
+        if i % 3 == 2:
+            assert {r.k: r.n for r in parts.read().collect()} == want
+        assert len(os.listdir(tmp_path / "p")) <= 10
+    parts.roll_up(5)  # an old one again changes nothing
+    assert {r.k: r.n for r in parts.read().collect()} == want
+
+
+def test_live_stats_write_changed_cells_only(spark, logs, tmp_path):
+    batches = [[(float(i), "INFO", f"s{i % 4}", "m", "t") for i in range(40)], [(50.0, "INFO", "s1", "m", "t")], [(51.0, "ERROR", "new", "m", "t")]]
+    stream = file_stream(spark, [logs(b) for b in batches], str(tmp_path / "q"))
+    stream_stats.live_cells(stream, str(tmp_path / "c"), str(tmp_path / "o"), once=True).awaitTermination()
+    assert [spark.read.parquet(str(tmp_path / f"c/batch={i}")).count() for i in range(3)] == [4, 1, 1]
+    live = {tuple(r) for r in stream_stats.read_live_stats(spark, str(tmp_path / "c")).collect()}
+    assert live == {tuple(r) for r in stats.stats(logs(sum(batches, []))).collect()}
 
 
 def test_index_stream_replays_add_nothing(spark, logs, tmp_path):

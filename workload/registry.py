@@ -16,7 +16,7 @@ from loomlog.operators import alerts as alerts_
 from loomlog.operators import metrics, retention, search, stats, tenancy
 from loomlog.plans.archive import Archive, expire_days, restore
 from loomlog.plans.store import LogStore, dedupe, only_new, upsert
-from loomlog.session import new_folder
+from loomlog.session import files_below, new_folder, set_order
 from loomlog.sources import credentials, generate, raw
 from loomlog.sources import rules as rules_
 from loomlog.sources import structured as structured_
@@ -844,18 +844,25 @@ def _stream(spark, sf):
     return t.as_logs(t.table_stream(spark, sf, "events"))
 
 
-def _drained(spark, sf, folder, start):
-    """Run the stream over all of the table, then again, on the same checkpoint, over one more file with
-    a far-future event, which moves the watermark past all others."""
-    events, ends = t.table(spark, sf, "events"), f"{folder}/ends"
-    events.limit(0).write.parquet(ends)
-    stream = t.table_stream(spark, sf, "events").unionByName(spark.readStream.schema(events.schema).parquet(ends))
-    start(t.as_logs(stream)).awaitTermination()
-    last = events.orderBy(F.col("event_id").asc_nulls_last()).limit(1).withColumn("ts", F.expr(f"timestamp_ntz'{FAR}'"))
-    last.write.mode("append").parquet(ends)
-    if spark.read.parquet(ends).isEmpty() and not events.isEmpty():
-        raise RuntimeError("no end marker was written")
-    start(t.as_logs(stream)).awaitTermination()
+def _ordered(spark, events, folder):
+    """Add the events to a folder as files of disjoint time ranges that a stream takes in order of time."""
+    held = set(files_below(spark, folder, ".parquet"))
+    # the ranges are cut at the same places whatever the number of files that the events came in
+    events.repartitionByRange("ts", "event_id").sortWithinPartitions("ts").write.mode("append").parquet(folder)
+    new = sorted(set(files_below(spark, folder, ".parquet")) - held)
+    set_order(spark, folder, new, after=len(held))
+
+
+def _end_marker(events):
+    """A far-future event, which moves the watermark past all others."""
+    return events.orderBy(F.col("event_id").asc_nulls_last()).limit(1).withColumn("ts", F.expr(f"timestamp_ntz'{FAR}'"))
+
+
+def _run_alerts(spark, folder, schema, **options):
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", t.FILES_PER_BATCH).parquet(f"{folder}/ordered")
+    stream_alerts_.alert_stream(
+        t.as_logs(stream), t.rules(spark), f"{folder}/alerts", f"{folder}/offsets", delay=ALERT_DELAY, once=True, **options
+    ).awaitTermination()
 
 
 def _drain(df, spark, label):
@@ -875,17 +882,54 @@ def stream_index(spark, sf):
     return store.read().select("doc_id", day_col(), *event_cols())
 
 
+ALERT_DELAY, ALERT_DELAY_US = "6 hours", 6 * 3_600_000_000
+
+
 @query("stream_alerts", sql(ALERT_SQL))
 def stream_alerts(spark, sf):
-    folder = new_folder(spark, "stream-alerts")
-    # the table's files may come in any order, so the delay covers all of its time
-    span = t.table(spark, sf, "events").agg(F.expr("timestampdiff(second, min(ts), max(ts))")).first()[0] or 0
+    folder, events = new_folder(spark, "stream-alerts"), t.table(spark, sf, "events")
+    _ordered(spark, events.unionByName(_end_marker(events)), f"{folder}/ordered")
+    _run_alerts(spark, folder, events.schema)
+    return sinks.read_alerts(spark, f"{folder}/alerts").where(F.col("timestamp") < F.lit(FAR).cast("timestamp")).select(*alert_cols())
 
-    def start(logs):
-        return stream_alerts_.alert_stream(logs, t.rules(spark), f"{folder}/alerts", f"{folder}/offsets", delay=f"{span + 1} seconds", once=True)
 
-    _drained(spark, sf, folder, start)
-    return sinks.read_alerts(spark, f"{folder}/alerts").where(F.col("timestamp") < F.lit(FAR).cast("timestamp")).select(*alert_cols())
+@query(
+    "alert_state",
+    sql(
+        """select rule, tenant, us, count(*) as hits from matched
+           where us <= (select last from edge) and us >= (select last from edge) - window_us group by all""",
+        # the watermark has whole milliseconds
+        edge=f"select max(us) as last from matched where us <= (select max(us) // 1000 * 1000 - {ALERT_DELAY_US} from logs)",
+    ),
+)
+def alert_state(spark, sf):
+    # what the stream remembers when it has seen all: hits that a window may still reach
+    folder, events = new_folder(spark, "alert-state"), t.table(spark, sf, "events")
+    _ordered(spark, events, f"{folder}/ordered")
+    _run_alerts(spark, folder, events.schema)
+    return stream_alerts_.alert_state(spark, f"{folder}/offsets")[0]
+
+
+@query(
+    "notify_outbox",
+    sql("""select ':rotating_light: ' || message || ' (tenant=' || tenant || ')' as text, count(*) as n from alerts group by 1"""),
+)
+def notify_outbox(spark, sf):
+    # the first two sends fail; what they held arrives with a later one
+    folder, refused = new_folder(spark, "outbox"), iter([True, True])
+
+    def send(texts):
+        if next(refused, False):
+            raise OSError("nobody listens")
+        texts.write.mode("append").text(f"{folder}/sent")
+
+    events = t.table(spark, sf, "events")
+    for part in (events, _end_marker(events)):  # two runs on one checkpoint
+        _ordered(spark, part, f"{folder}/ordered")
+        _run_alerts(spark, folder, events.schema, send=send)
+    stream_alerts_.outbox(spark, f"{folder}/offsets").deliver(send)
+    sent = spark.read.schema("text string").text(f"{folder}/sent")
+    return sent.groupBy("text").agg(F.count("*").alias("n"))
 
 
 @query("stream_dedupe", sql("select doc_id from ids"))
