@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,12 +20,15 @@ def event_kept(as_of: datetime, days: int) -> Column:
     return F.col("timestamp") >= F.lit(cutoff(as_of, days))
 
 
-def day_kept(as_of: datetime, days: int) -> Column:
-    """Day by day: a day goes as a whole once its midnight is before the cutoff. On the
-    partition column only, so a store reads no row to decide."""
+def first_day_kept(as_of: datetime, days: int) -> date:
+    """A day goes as a whole once its midnight is before the cutoff."""
     limit = cutoff(as_of, days).astimezone(timezone.utc)
-    first = limit.date() if limit.time() == limit.min.time() else limit.date() + timedelta(days=1)
-    return F.col("day") >= F.lit(first)
+    return limit.date() if limit.time() == limit.min.time() else limit.date() + timedelta(days=1)
+
+
+def day_kept(as_of: datetime, days: int) -> Column:
+    """Day by day; on the partition column only, so a store reads no row to decide."""
+    return F.col("day") >= F.lit(first_day_kept(as_of, days))
 
 
 def split(logs: DataFrame, kept: Column) -> tuple[DataFrame, DataFrame]:

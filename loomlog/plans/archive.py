@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from loomlog.functions.events import JSON_WRITE, wire_columns
 from loomlog.functions.ids import day_of
 from loomlog.functions.text import blank
-from loomlog.operators.retention import cutoff, day_kept
+from loomlog.operators.retention import first_day_kept
 from loomlog.plans.store import LogStore, WriteResult, dedupe, store_rows
 from loomlog.schema import LOG_COLUMNS, LOG_SCHEMA
 from loomlog.session import path_exists, pin_utc
@@ -67,24 +67,20 @@ class Archive:
 def expire_days(store: LogStore, as_of: datetime, days: int, archive: Archive | None = None) -> int:
     """Drop the tenant-days that are too old and return how many went.
 
-    With an archive, everything is archived and checked to be there before the first folder
-    is deleted; a run that stops in between is simply run again.
+    The files of one listing are archived, checked to be in the archive, and deleted; an event that is
+    appended to an old day meanwhile lies in another file and stays for the next run. A run that stops
+    in between is simply run again.
     """
-    limit = cutoff(as_of, days)
-    old = [
-        (tenant, day, folder)
-        for tenant, day, folder in store.day_folders()
-        if datetime(day.year, day.month, day.day, tzinfo=limit.tzinfo) < limit
-    ]
-    if not old:
+    first_kept = first_day_kept(as_of, days)
+    files = store.files(before=first_kept)
+    if not files:
         return 0
     if archive is not None:
-        expired = store.read().where(~day_kept(as_of, days))
+        expired = store.read_files(files)
         archive.add(expired)
-        if not archive.missing(expired, max(day for _, day, _ in old)).isEmpty():
+        if not archive.missing(expired, first_kept).isEmpty():
             raise RuntimeError("the archive lacks expired events; nothing was deleted")
-    store.drop_folders([folder for _, _, folder in old])
-    return len(old)
+    return store.drop_files(files)
 
 
 def restore(

@@ -223,8 +223,11 @@ def test_a_write_reads_only_its_own_tenant_days(spark, tmp_path, logs):
     store = LogStore(spark, str(tmp_path / "s"))
     store.write(logs([(86400.0 * d, "INFO", "s", f"m{d}", t) for d in range(3) for t in ("a", "b", "c")]))
     batch = store_rows(logs([(86400.0, "INFO", "s", "m1", "b"), (0.0, "INFO", "s", "new", "d")]))
-    spans = batch.groupBy("tenant", "day").agg(F.count("*").alias("n"), F.min(F.unix_micros("timestamp")).alias("lo"), F.max(F.unix_micros("timestamp")).alias("hi")).collect()
-    files = store._known(spark, spans).inputFiles()
+    us = F.unix_micros("timestamp")
+    spans = batch.groupBy("tenant", "day").agg(F.count("*").alias("n"), F.min(us).alias("lo"), F.max(us).alias("hi"))
+    few = spans.collect()
+    ends = [min(r.day for r in few), max(r.day for r in few), min(r.lo for r in few), max(r.hi for r in few)]
+    files = store._known(spark, spans, few, ends).inputFiles()
     assert files and all("/tenant=b/day=1970-01-02/" in f for f in files)
     assert store.write(logs([(86400.0, "INFO", "s", "m1", "b"), (0.0, "INFO", "s", "new", "d")])).new == 1
 

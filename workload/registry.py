@@ -14,6 +14,7 @@ from loomlog.functions.text import detect_level, normalize_level
 from loomlog.functions.times import parse_ts
 from loomlog.operators import alerts as alerts_
 from loomlog.operators import metrics, retention, search, stats, tenancy
+from loomlog.plans import find, ingest, merges
 from loomlog.plans.archive import Archive, expire_days, restore
 from loomlog.plans.store import LogStore, dedupe, only_new, upsert
 from loomlog.session import files_below, new_folder, set_order
@@ -22,6 +23,7 @@ from loomlog.sources import rules as rules_
 from loomlog.sources import structured as structured_
 from loomlog.streaming import alerts as stream_alerts_
 from loomlog.streaming import index as stream_index_
+from loomlog.streaming import retention as stream_retention
 from loomlog.streaming import sinks
 from loomlog.streaming import sources as stream_sources
 from loomlog.streaming import stats as stream_stats_
@@ -837,9 +839,106 @@ def restore_(spark, sf):
     return back.read().select("doc_id", *event_cols())
 
 
+@query("compaction", sql(f"select doc_id, day, {EVENT_SQL}, 1 as files from ids"))
+def compaction(spark, sf):
+    # four writes leave four files a tenant-day; what they held is merged, and deleted once nobody reads it
+    store = LogStore(spark, new_folder(spark, "small-files"))
+    rows = t.logs(spark, sf)
+    for i in range(4):
+        store.write(rows.where(F.col("event_id") % 4 == i))
+    merges.compact(store, least=2)
+    merges.vacuum(store, grace_s=0)
+    per_day = merges.file_counts(store)
+    kept = store.read().join(per_day, ["tenant", "day"])
+    return kept.select("doc_id", day_col(), *event_cols(), F.col("files").cast("int").alias("files"))
+
+
+@query(
+    "late_during_expiry",
+    sql(
+        f"""select {EVENT_SQL}, day, case when epoch_us(cast(day as timestamp)) < {CUTOFF_US} and event_id % 5 <> 0 then 'archive'
+                                          else 'store' end as place from ids"""
+    ),
+)
+def late_during_expiry(spark, sf):
+    # each fifth event arrives after its day was archived and before the day is deleted: it stays
+    rows = t.logs(spark, sf)
+    store = _store(spark, rows.where("event_id % 5 <> 0"))
+
+    class Slow(Archive):
+        def missing(self, logs, until=None):
+            store.write(rows.where("event_id % 5 = 0"))
+            return super().missing(logs, until)
+
+    archive = Slow(spark, new_folder(spark, "archive"))
+    expire_days(store, AS_OF, KEEP_DAYS, archive)
+    kept = store.read().select(*event_cols(), day_col(), F.lit("store").alias("place"))
+    return kept.unionByName(archive.read().select(*event_cols(), day_col(), F.lit("archive").alias("place")))
+
+
+@query("find_page", sql(f"select doc_id, {EVENT_SQL} from ids where tenant = 't0' and {_PHRASE_SQL % 'by user'} order by us desc, doc_id limit 100"))
+def find_page(spark, sf):
+    return find.newest(_store(spark, t.logs(spark, sf)), "t0", "by user").select("doc_id", *event_cols())
+
+
+@query(
+    "ingest_store",
+    sql(
+        f"""select distinct us, level, service, message, attrs, team as tenant from ({LINES_SQL.replace("legacy", "unknown")})
+            join (select event_id, user_id from logs) using (event_id)
+            join creds on api_key = 'k' || user_id where team <> 'Bad*'"""
+    ),
+)
+def ingest_store(spark, sf):
+    # text requests with their credential, to stored events of the credential's tenant
+    requests = t.raw_lines(spark, sf).join(_requests(spark, sf), "event_id")
+    events, _ = ingest.ingest_raw(requests, _credentials(spark, sf), "value", ingest_time=F.col("timestamp"))
+    return _store(spark, events).read().select(*event_cols())
+
+
+@query("dead_letter_replay", sql(f"select doc_id, day, {EVENT_SQL} from ids"))
+def dead_letter_replay(spark, sf):
+    # the store is down for as long as the batch is tried: all of it goes through the dead letters
+    folder, store = new_folder(spark, "dead-replay"), LogStore(spark, new_folder(spark, "store"))
+
+    class Down:
+        def write(self, _):
+            raise OSError("the store is down")
+
+    stream_index_.index_batch(Down(), t.redelivered(spark, sf), 0, folder, sleep=lambda _: None)
+    stream_index_.replay_dead_letters(store, folder)
+    stream_index_.replay_dead_letters(store, folder)  # a second time adds nothing
+    return store.read().select("doc_id", day_col(), *event_cols())
+
+
 # --- streams ---------------------------------------------------------------------------
 
 
+TICKS_US = (AS_OF_US - 11 * 86_400_000_000, AS_OF_US)
+
+
+@query(
+    "retention_job",
+    sql(
+        """select as_of_us, (select count(distinct (tenant, day)) from ids
+                             where epoch_us(cast(day as timestamp)) < as_of_us - keep and epoch_us(cast(day as timestamp)) >= before - keep)
+                  as dropped_days from ticks""",
+        ticks=f"select *, {KEEP_DAYS * 86_400_000_000} as keep from (values ({TICKS_US[0]}, 0), ({TICKS_US[1]}, {TICKS_US[0]})) v(as_of_us, before)",
+    ),
+)
+def retention_job(spark, sf):
+    # two ticks, the stream restarted between them, and once more with none
+    folder, store = new_folder(spark, "retention"), _store(spark, t.logs(spark, sf))
+    archive = Archive(spark, f"{folder}/archive")
+    for us in (*TICKS_US, None):
+        if us is not None:
+            spark.range(1).select(F.timestamp_micros(F.lit(us)).alias("timestamp")).coalesce(1).write.mode("append").parquet(f"{folder}/ticks")
+        ticks = spark.readStream.schema("timestamp timestamp").parquet(f"{folder}/ticks")
+        stream_retention.retention_stream(ticks, store, KEEP_DAYS, f"{folder}/runs", f"{folder}/offsets", archive, once=True).awaitTermination()
+    runs = stream_retention.read_runs(spark, f"{folder}/runs")
+    return runs.select(F.unix_micros("as_of").alias("as_of_us"), "dropped_days")
+
+
 def _stream(spark, sf):
     return t.as_logs(t.table_stream(spark, sf, "events"))
 
