@@ -23,7 +23,9 @@ NEUTRAL = ("Dr", "Prof", "Professor", "Доктор")
 _TITLES = "|".join((*MALE, *FEMALE, *NEUTRAL))
 _NAME = r"\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+){0,2}"
 KINDS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    # It begins where a run of its signs or the search does, and takes no part of a run twice, so long runs cost their length;
+    # more than 127 labels are no domain, and a bound keeps the search from nesting as deep as the text is long.
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,127}[A-Za-z]{2,}",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:sk|pk|rk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,}",
     "token": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
@@ -46,6 +48,7 @@ ENDINGS = {"latin": ("rin", "lia", "len"), "cyrillic": ("рин", "лия", "л
 _COUNTRY = r"\+(?:[17]|2~[07]|3~[0-469]|4~[013-9]|5~[1-8]|6~[0-6]|8~[1246]|9~[0-58]|[2-9]~[0-9]~[0-9])".replace("~", "[^0-9]*")
 #: Entities that drew again are given to all tasks up to this number; beyond it they are joined.
 MAX_LISTED = 1_000
+LONGEST_NUMBER = 64
 #: From this draw on a surrogate also gets more characters, so a small space of forms cannot run out.
 LONGER_FROM = 4
 
@@ -123,9 +126,12 @@ def _chars(value: Column) -> Column:
 
 
 def _alike(drawn: Column, value: Column) -> Column:
-    """Every letter and digit drawn anew; signs stay, and do not count, so spellings agree."""
-    counted = lambda i: F.char_length(F.regexp_replace(F.substr(value, F.lit(1), i), "[^0-9A-Za-z]", ""))
-    return F.array_join(F.transform(_chars(value), lambda c, i: _char(drawn, counted(i), c)), "")
+    """Every letter and digit drawn anew; signs stay, and do not count, so spellings agree. In values longer
+    than any number they count, as no spelling of those differs by signs."""
+    before = lambda i: F.char_length(F.regexp_replace(F.substr(value, F.lit(1), i), "[^0-9A-Za-z]", ""))
+    by_place = F.transform(_chars(value), lambda c, i: _char(drawn, i, c))
+    by_count = F.transform(_chars(value), lambda c, i: _char(drawn, before(i), c))
+    return F.array_join(F.when(F.char_length(value) > LONGEST_NUMBER, by_place).otherwise(by_count), "")
 
 
 def _luhn_sum(digits: Column) -> Column:

@@ -164,3 +164,34 @@ def test_odd_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = surrogates.replace(edge_docs(spark).select("doc_id", F.col("text")), "k")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_long_runs_cost_their_length(spark):
+    import random
+    import time
+
+    rnd = random.Random(2)
+    blob = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(1_000_000))
+    texts = [
+        "mail x@" + "a." * 20_000 + "com 1", "mail x@" + "ab." * 20_000 + "com 1", blob, "a" * 1_000_000, "x@" * 200_000, "a.b" * 300_000,
+        "sk-" + "aB3_" * 10_000, "y" * 40_000 + "@mail.example.com", "-" * 500_000 + "@", "1-" * 300_000, "Mr " + "Aa" * 20_000,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    started = time.time()
+    rows = {r.doc_id: r for r in surrogates.replace(docs, "key").collect()}
+    assert time.time() - started < 90
+    assert [rows[i].text == t for i, t in enumerate(texts)].count(False) >= 4
+    assert rows[6].text != texts[6] and rows[7].text != texts[7] and rows[7].text.endswith(".com")
+
+
+def test_addresses_are_those_of_the_plain_pattern(spark):
+    import random
+
+    plain = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+    rnd = random.Random(5)
+    bits = ["a", "b1", ".", "@", "-", "co", "com", " ", "x.org", "1", "é", "%"]
+    texts = ["a@b.co1x@y.org z@q.de", "a@b.com.x@y.org"] + ["".join(rnd.choice(bits) for _ in range(rnd.randrange(2, 16))) for _ in range(4_000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        "text", F.regexp_extract_all("text", F.lit(plain), F.lit(0)).alias("want"), F.regexp_extract_all("text", F.lit(surrogates.KINDS["email"]), F.lit(0)).alias("got"),
+    )
+    assert [r for r in rows.collect() if r.want != r.got] == []
