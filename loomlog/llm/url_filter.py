@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.session import checkpointed
@@ -23,10 +23,11 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-MAX_RULES = 2_000  # rules become part of the plan; a larger set is refused, not cut
+MAX_RULES = 100  # that many become part of the plan; more, or a table of rules, are joined
 DAMPING, ENOUGH = 0.85, 1e-6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+# A tag that never ends is searched up to the next one only.
+_LINK = r"""(?i)<a\s[^<>]*?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
 def host_of(url: Column) -> Column:
@@ -46,8 +47,6 @@ def _rest(url: Column) -> Column:
 
 def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
     """The longest fitting rule as a struct of rule and verdict, or null; of equally long ones the first by text."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2], r[0]))
     found = F.lit(None).cast("struct<rule: string, verdict: string>")
     for verdict, h, p in reversed(ordered):
@@ -56,6 +55,33 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return found
 
 
+def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]] | DataFrame) -> DataFrame:
+    """(verdict, host, path) of all rules; of those that are equal but for the verdict, the first by text."""
+    table = rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "verdict string, host string, path string")
+    return table.groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
+
+
+def ruled_by_join(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """Adds ``r``, as of ``rule_for``, to (host, path, ...) by joins with any number of rules of ``rule_table``.
+
+    Distinct (host, path) are looked up: first the ends of the host among the hosts with rules, then, for the
+    lengths of path that these rules have, the beginning of the path. Both are equi-joins with one row
+    per key on the side of the rules.
+    """
+    told = rules.select(F.col("host").alias("end"), F.col("path").alias("start"), "verdict")
+    lengths = told.groupBy("end").agg(F.collect_set(F.char_length("start")).alias("lengths"))
+    labels = F.split("host", "\\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = rows.select("host", "path").distinct()
+    held = asked.withColumn("end", F.explode(ends)).join(lengths, "end")
+    fits = held.withColumn("n", F.explode("lengths")).where(F.char_length("path") >= F.col("n"))
+    fits = fits.withColumn("start", F.substr("path", F.lit(1), F.col("n"))).join(told, ["end", "start"])
+    rule = F.concat("end", "start")
+    best = F.min(F.struct((-F.char_length(rule)).alias("less"), rule.alias("rule"), "verdict")).alias("best")
+    found = fits.groupBy("host", "path").agg(best).select("host", "path", F.struct("best.rule", "best.verdict").alias("r"))
+    return rows.join(found, ["host", "path"], "left").select(*rows.columns, "r")
+
+
 def edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Links between different hosts: ``src, dst, n`` (pages of src with a link to dst).
 
@@ -122,16 +148,20 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, enou
     return ranks
 
 
-def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
+def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", rules: Sequence[tuple[str, str, str]] | DataFrame = RULES) -> DataFrame:
     """``page_id, host, path, rule, verdict, trust, distrust`` of every page.
 
-    The longest fitting rule decides. Without one, a page is blocked if its host's distrust is larger
+    ``rules`` are (verdict, host, path), as a list or as a table of any size. The longest fitting rule decides. Without one, a page is blocked if its host's distrust is larger
     than its trust, else allowed; a host that neither reaches is allowed, as are pages without a host
     (null, empty or odd urls). Repeated rows are judged alike; a null html has no links.
     """
     host, path = host_of(F.col(f"`{url}`").cast("string")), path_of(F.col(f"`{url}`").cast("string"))
     rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
-    ruled = rows.withColumn("r", rule_for(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("by_rule"))
+    if isinstance(rules, DataFrame) or len(rules) > MAX_RULES:
+        named = ruled_by_join(rows, rule_table(pages.sparkSession, rules))
+    else:
+        named = rows.withColumn("r", rule_for(F.col("host"), F.col("path"), rules))
+    ruled = named.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("by_rule"))
     seeds = (
         ruled.where("by_rule is not null and host <> ''")
         .groupBy("host")
