@@ -25,6 +25,7 @@ from loomlog.session import new_folder
 ARCHIVE_BYTES = 1 << 30
 #: Two records are fetched together if at most so many bytes lie between them, up to a size.
 GAP_BYTES, FETCH_BYTES = 64 << 10, 4 << 20
+TASK_BYTES = 16 << 20  # of records that one task reads back
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id long, url string, digest string, record_type string, refers_to long, payload_bytes long, file string, offset long, length long"
 
@@ -152,9 +153,12 @@ def read(index: DataFrame) -> DataFrame:
 
     Select the rows beforehand. The payload of a revisit is null; its size and digest are those of the
     full one. Rows are sorted by file and offset over the whole cluster, so each task reads a stretch of
-    few files, and neighbouring records come with one request.
+    few files, and neighbouring records come with one request. There are as many tasks as the records'
+    bytes ask for, not as the small index does.
     """
-    wanted = index.select("folder", "file", "offset", "length").repartitionByRange("folder", "file", "offset").sortWithinPartitions("folder", "file", "offset")
+    places = index.select("folder", "file", "offset", "length")
+    tasks = -(-(places.agg(F.sum("length")).first()[0] or 1) // TASK_BYTES)
+    wanted = places.repartitionByRange(tasks, "folder", "file", "offset").sortWithinPartitions("folder", "file", "offset")
 
     def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         """Members of neighbouring records."""

@@ -71,3 +71,15 @@ def test_a_changed_payload_is_an_error():
         warc.parse(pack(whole.replace(b"\r\n\r\npayload", b"\r\n\r\npayl0ad")))
     with pytest.raises(zlib.error):
         warc.parse(pack(whole)[:-12])
+
+
+def test_reading_back_takes_tasks_by_bytes(spark, monkeypatch):
+    rows = [(i, f"http://h{i}.org/", f"{i} " + "x" * 2_000) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    index = warc.write(warc.with_revisits(pages))
+    total = sum(r.length for r in index.collect())
+    assert warc.read(index).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(warc, "TASK_BYTES", total // 12)
+    spread = warc.read(index)
+    assert spread.rdd.getNumPartitions() == 13
+    assert sorted((r.page_id, bytes(r.payload).decode()) for r in spread.collect()) == [(i, h) for i, _, h in rows]
