@@ -15,9 +15,12 @@ from loomlog.functions.text import general_number
 from loomlog.functions.times import seconds_to_us
 from loomlog.operators.slices import SLICE_US, counts_at
 from loomlog.operators.spaced import FOLD_MAX, spaced
+from loomlog.operators.spread import apart, row_salt, salted
 from loomlog.session import broadcast_if_small
 
 RECENT = 20
+#: Up to this many rules go to every task.
+FEW_RULES = 10_000
 ALERT_COLUMNS = ["timestamp", "tenant", "rule", "level", "service", "count", "window_s", "message"]
 
 
@@ -44,32 +47,35 @@ def rule_table(rules: DataFrame) -> DataFrame:
             F.when(service.isNull(), F.lit("*")).otherwise(F.concat(F.lit("="), service)),
         ).alias("_pattern"),
     )
-    return broadcast_if_small(table, 10_000)
-
-
-def _event_patterns() -> Column:
-    """The four patterns an event answers to: each of level and service named or open."""
-    level, service = F.concat(F.lit("="), "level"), F.concat(F.lit("="), "service")
-    sep, anything = F.lit("\n"), F.lit("*")
-    return F.array(
-        F.concat(anything, sep, anything),
-        F.concat(level, sep, anything),
-        F.concat(anything, sep, service),
-        F.concat(level, sep, service),
-    )
+    return broadcast_if_small(table, FEW_RULES)
+
+
+def _event_patterns(shapes: list[tuple[bool, bool]]) -> Column:
+    """The patterns an event answers to, by whether level and service are open."""
+    def name(column: str, is_open: bool) -> Column:
+        return F.lit("*") if is_open else F.concat(F.lit("="), column)
 
+    made = [F.concat(name("level", level), F.lit("\n"), name("service", service)) for level, service in shapes]
+    return F.array(*made).cast("array<string>")
 
-def match_rules(logs: DataFrame, rules: DataFrame) -> DataFrame:
+
+def match_rules(logs: DataFrame, rules: DataFrame, few: int = FEW_RULES) -> DataFrame:
     """One row per event and rule it answers to.
 
-    Optional predicates make this a lookup of four patterns per event: an equi-join whose
-    cost does not grow with the number of rules, where testing every pair would.
+    Optional predicates make this a lookup of at most four patterns per event, those of the shapes
+    that the rules have: an equi-join whose cost does not grow with the number of rules, where testing every
+    pair would. Up to ``few`` rules are broadcast. More are copied under salts over which the
+    events are dealt, as an open pattern is one key for all events, and a level's for a large part.
     """
-    return (
-        logs.withColumn("_pattern", F.explode(_event_patterns()))
-        .join(rule_table(rules), "_pattern")
-        .drop("_pattern")
-    )
+    table = rule_table(rules)
+    of = table.select(F.col("rule_level").isNull().alias("level"), F.col("rule_service").isNull().alias("service"))
+    first = of.take(few + 1)
+    is_large = len(first) > few
+    shapes = sorted({(r.level, r.service) for r in (of.distinct().collect() if is_large else first)})  # at most four
+    asked = logs.withColumn("_pattern", F.explode(_event_patterns(shapes)))
+    if is_large:
+        asked, table = asked.withColumn("_salt", row_salt(logs)), salted(table)
+    return asked.join(table, ["_pattern", "_salt"] if is_large else "_pattern").drop("_pattern", "_salt")
 
 
 def _hits(logs: DataFrame, rules: DataFrame) -> DataFrame:
@@ -93,8 +99,7 @@ def candidates(logs: DataFrame, rules: DataFrame, width: int = SLICE_US) -> Data
     """Instants that reach the threshold, the cooldown aside. The reported count stops at it."""
     rules = rule_table(rules)
     return (
-        window_counts(logs, rules, width)
-        .join(rules.select("rule", "threshold"), "rule")
+        apart(window_counts(logs, rules, width), rules.select("rule", "threshold"), ["rule"])
         .where("n >= threshold")
         .select("rule", "tenant", "us", F.least("n", "threshold").cast("int").alias("n"))
     )
@@ -104,7 +109,7 @@ def fires(logs: DataFrame, rules: DataFrame, fold_max: int = FOLD_MAX, width: in
     """(rule, tenant, us): candidates left after the cooldown."""
     rules = rule_table(rules)
     gaps = rules.select("rule", "cooldown_us")
-    ready = candidates(logs, rules, width).select("rule", "tenant", "us").join(gaps, "rule")
+    ready = apart(candidates(logs, rules, width).select("rule", "tenant", "us"), gaps, ["rule"])
     return spaced(ready, ["rule", "tenant"], "us", "cooldown_us", fold_max, width)
 
 

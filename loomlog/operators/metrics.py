@@ -7,37 +7,82 @@ from pyspark.sql import functions as F
 
 from loomlog.functions.times import MICRO
 from loomlog.operators.slices import running, slice_of
+from loomlog.operators.spread import apart, same_keys
 from loomlog.session import checkpointed
 
 EWMA_KEEP, EWMA_NEW = 0.6, 0.4
 RECEIVING_ABOVE = 1.0
 EWMA_CHUNK = 256
 POLL_SLICE_S = 3600
+#: A group of percentiles with more distinct values is cut into this many cells, again and again.
+CELL_VALUES, CELLS = 10_000, 64
+#: Cuts after which a cell holds only values that the sketch's doubles cannot tell apart.
+CUTS = 12
 
 
-def percentiles(samples: DataFrame, keys: list[str], value: str, ps: list[float]) -> DataFrame:
+def percentiles(
+    samples: DataFrame, keys: list[str], value: str, ps: list[float], limit: int = CELL_VALUES, groups: DataFrame | None = None
+) -> DataFrame:
     """(keys…, p, value): the element at min(floor(n·p), n-1) of the sorted values.
 
-    Exact without sorting a group in one place: equal values are counted first, values are
-    cut into narrow bins by their logarithm, bin counts tell which bin holds the wanted
-    place, and only inside bins are values put in order.
+    Exact without sorting a group in one place. Equal values are counted first. A group with more
+    than ``limit`` distinct values is cut at the quantiles of a sketch into cells, the counts of the cells tell which
+    one holds the wanted place, and only that one's values go on, to be cut again until at most ``limit`` are
+    left to be put in order. The sketch decides how fast cells shrink, never the result.
+
+    Nulls are no values; a null key is a group of its own. ``groups`` (keys…) names groups that are
+    to be told even if they have no value: their result is 0.
     """
     v = F.col(value)
-    counted = samples.where(v.isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    binned = counted.withColumn(
-        "_bin",
-        F.when(v > 0, F.floor(F.log2(v) * 256))
-        .when(v < 0, -F.floor(F.log2(-v) * 256))
-        .otherwise(F.lit(0))
-        .cast("long"),
-    ).withColumn("_bin", F.struct(F.signum(v).alias("s"), F.col("_bin").alias("b")))
-    upto = running(binned, keys, "_bin", [value], F.col("_n"), "_upto")
-    sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    wanted = sizes.select(*keys, "_size", F.explode(F.array(*map(F.lit, ps))).alias("p")).withColumn(
-        "_place", F.least(F.floor(F.col("_size") * F.col("p")), F.col("_size") - 1)
+    at = [*keys, "_cell"]
+    rows = checkpointed(
+        samples.where(v.isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n")).withColumn("_cell", F.lit(""))
+    )
+    sizes = rows.groupBy(*at).agg(F.sum("_n").alias("_size"))
+    places = sizes.select(*at, "_size", F.explode(F.array(*map(F.lit, ps))).alias("p")).select(
+        *at, "p", F.least(F.floor(F.col("_size") * F.col("p")), F.col("_size") - 1).alias("_place")
+    )
+    found = None
+    for step in range(CUTS + 1):
+        large = rows.groupBy(*at).agg(F.count("*").alias("_distinct")).where(F.col("_distinct") > limit).drop("_distinct")
+        large = checkpointed(large)
+        done = step == CUTS or large.isEmpty()
+        # the cells that are small enough; the others are cut
+        small = rows if done else apart(rows, large, at, "left_anti")
+        order = Window.partitionBy(*at).orderBy(value)
+        upto = small.withColumn("_upto", F.sum("_n").over(order))
+        holds = (F.col("_place") < F.col("_upto")) & (F.col("_place") >= F.col("_upto") - F.col("_n"))
+        told = same_keys(upto, places, at).where(holds).select(*keys, "p", value)
+        found = told if found is None else found.unionByName(told)
+        if done:
+            break
+        rows, places = _cut(apart(rows, large, at, "left_semi"), same_keys(places, large, at, "left_semi"), keys, value)
+    if groups is not None:
+        all_ps = groups.select(*keys).distinct().withColumn("p", F.explode(F.array(*map(F.lit, ps))))
+        found = same_keys(all_ps, found, [*keys, "p"], "left").withColumn(value, F.coalesce(value, F.lit(0).cast(samples.schema[value].dataType)))
+    return found
+
+
+def _cut(rows: DataFrame, places: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """The values of the wanted cells one step finer, and the places within them."""
+    at, part = [*keys, "_cell"], F.col("_cuts")
+    steps = [(i + 1) / CELLS for i in range(CELLS - 1)]
+    cuts = rows.groupBy(*at).agg(F.percentile_approx(value, steps, 20 * CELLS).alias("_cuts"))
+    v = F.col(value)
+    cell = F.size(F.filter(part, lambda c: c < v))
+    cells = apart(rows, checkpointed(cuts), at).withColumn("_part", cell).drop("_cuts")
+    sums = cells.groupBy(*at, "_part").agg(F.sum("_n").alias("_in"))
+    # a row per cell, so at most CELLS in a partition
+    upto = sums.withColumn("_upto", F.sum("_in").over(Window.partitionBy(*at).orderBy("_part")))
+    below = F.col("_upto") - F.col("_in")
+    finer = F.concat("_cell", F.lit("."), F.col("_part").cast("string"))
+    places = checkpointed(
+        same_keys(upto, places, at)
+        .where((F.col("_place") < F.col("_upto")) & (F.col("_place") >= below))
+        .select(*keys, finer.alias("_cell"), "p", (F.col("_place") - below).alias("_place"))
     )
-    holds = (F.col("_place") < F.col("_upto")) & (F.col("_place") >= F.col("_upto") - F.col("_n"))
-    return upto.join(wanted, keys).where(holds).select(*keys, "p", value)
+    rows = apart(cells.withColumn("_cell", finer).drop("_part"), places.select(*at).distinct(), at, "left_semi")
+    return checkpointed(rows), places
 
 
 def throughput(events: DataFrame, keys: list[str], at: str = "us") -> DataFrame:

@@ -110,6 +110,31 @@ def test_random_against_model(spark, logs, seed, path):
     assert fired(spark, logs(events), rules, **path) == model(events, rules)
 
 
+def test_many_rules_are_dealt_over_salts(spark, logs):
+    # 20 000 rules: 4 open, 16 for one level, the others for one service each
+    n = F.col("id")
+    level, service = F.when(n.between(4, 19), "ERROR"), F.when(n > 19, F.concat(F.lit("s"), n))
+    rules = spark.range(20_000).select(
+        F.concat(F.lit("r"), n).alias("name"), F.lit(2).alias("threshold"), F.lit(10.0).alias("window_s"), F.lit(0.0).alias("cooldown_s"),
+        level.alias("level"), service.alias("service"),
+    )
+    events = logs([(float(i), "ERROR" if i % 3 else "INFO", f"s{i % 40}", "m", "t") for i in range(600)])
+    matched = alerts.match_rules(events, rules)
+    assert "_salt" in matched._jdf.queryExecution().analyzed().toString()
+    got = {(r.rule, r.us) for r in matched.select("rule", F.unix_micros("timestamp").alias("us")).collect()}
+    first = alerts.match_rules(events, rules.where("id < 5000"))
+    assert "_salt" not in first._jdf.queryExecution().analyzed().toString()
+    assert got == {(r.rule, r.us) for r in first.select("rule", F.unix_micros("timestamp").alias("us")).collect()}
+    assert len(got) == matched.count() == 600 * 4 + 400 * 16 + 600 // 40 * 20
+    # the whole evaluation beyond the bound: the second of two hits in a closed window of 10 s fires
+    few = rules.where("id in (0, 4, 25)")
+    assert sorted(alerts.fires(events, rules).where("rule in ('r0', 'r4', 'r25')").collect()) == sorted(alerts.fires(events, few).collect())
+
+
+def test_rules_of_no_shape(spark, logs):
+    assert alerts.match_rules(logs(hits(0)), rules_df(spark, [("r", 1, 1.0, 1.0, None, None)]).where("false")).count() == 0
+
+
 def test_rule_documents(spark):
     assert load_rules(spark, "  ").count() == 0
     row = load_rules(spark, '[{"name":"r","threshold":"3","window_s":10}]').first()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomlog.functions import ids
 from loomlog.operators import metrics, retention, search, stats, tenancy
 from loomlog.operators.slices import running
+from loomlog.operators.spread import SALTS, apart, row_salt
 from loomlog.plans.store import dedupe, only_new, store_rows, upsert
 from loomlog.sources.credentials import credential_table
 from loomlog.sources.generate import LINE_LEVELS, SERVICES, gen_events, gen_lines
@@ -168,6 +169,57 @@ def test_percentiles(spark):
     assert got == {(k, p): sorted(vs)[min(int(len(vs) * p), len(vs) - 1)] for k, vs in runs.items() for p in ps}
 
 
+@pytest.mark.parametrize("limit", [1, 20, 10_000])
+def test_percentiles_of_any_distribution(spark, limit):
+    rnd = random.Random(3)
+    runs = {
+        None: [rnd.gauss(0, 1) for _ in range(300)],  # a null key is a group
+        "edge": [float("inf"), float("-inf"), float("nan"), 0.0, -0.0, 5e-324, 1.7e308] * 3,
+        "heavy": [1.0] * 400 + [1 + i * 1e-15 for i in range(300)] + [2.0] * 400,
+        "none": [None, None],
+    }
+    df = spark.createDataFrame([(k, v) for k, vs in runs.items() for v in vs], "run string, v double")
+    groups = spark.createDataFrame([(k,) for k in (*runs, "empty")], "run string")
+    ps = [0.0, 0.4, 0.5, 0.6, 1.0]
+    got = {(r.run, r.p): r.v for r in metrics.percentiles(df, ["run"], "v", ps, limit, groups).collect()}
+    assert len(got) == 5 * len(ps) and not any(got[k, p] for k in ("none", "empty") for p in ps)
+    for k in (None, "edge", "heavy"):
+        vs = sorted(runs[k], key=lambda v: (v != v, v))
+        for p in ps:
+            want = vs[min(int(len(vs) * p), len(vs) - 1)]
+            assert got[k, p] == want or (want != want and got[k, p] != got[k, p])
+
+
+def test_percentiles_of_a_narrow_group_stay_in_small_cells(spark, monkeypatch):
+    # a million values between 1 and 1.001, and a hundred small groups
+    hot = spark.range(1_000_000).select(F.lit("hot").alias("run"), (1 + F.pmod(F.col("id") * 7919, F.lit(1_000_000)) / 1e9).alias("v"))
+    cold = spark.range(1_000).select(F.concat(F.lit("c"), F.col("id") % 100).alias("run"), F.col("id").cast("double").alias("v"))
+    cells = []
+    plain = metrics._cut
+
+    def watched(rows, places, keys, value):
+        out = plain(rows, places, keys, value)
+        cells.append(out[0].groupBy(*keys, "_cell").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(metrics, "_cut", watched)
+    got = {(r.run, r.p): r.v for r in metrics.percentiles(hot.union(cold), ["run"], "v", [0.5, 0.99]).collect()}
+    assert got["hot", 0.5] == 1 + 500_000 / 1e9 and got["hot", 0.99] == 1 + 990_000 / 1e9 and got["c7", 0.5] == 507.0
+    assert len(got) == 202 and cells[0] < 20_000 and cells[-1] <= 10_000
+
+
+def test_spread_join_deals_a_hot_key_over_its_copies(spark):
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 3 != 0, "hot").when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("k"))
+    small = spark.createDataFrame([("hot", 1), ("2", 2), (None, 3), ("absent", 4)], "k string, x int")
+    want = {(r.id, 1 if r.id % 3 else 3) for r in rows.where("k = 'hot' or k is null").collect()} | {(r.id, 2) for r in rows.where("k = '2'").collect()}
+    for few in (0, 10):
+        assert {(r.id, r.x) for r in apart(rows, small, ["k"], few=few).collect()} == want
+        assert apart(rows, small, ["k"], "left_semi", few).count() == len(want)
+        assert apart(rows, small, ["k"], "left_anti", few).count() == 20_000 - len(want)
+    sizes = [r["count"] for r in rows.where("k = 'hot'").groupBy(row_salt(rows)).count().collect()]
+    assert len(sizes) == SALTS and max(sizes) < 3 * min(sizes)
+
+
 def test_ewma_and_rate(spark):
     df = spark.createDataFrame([("t", 0.0, 0), ("t", 10.0, 100), ("t", 20.0, 300), ("t", 30.0, 300), ("t", 40.0, 200)], "tenant string, t double, total long")
     rates = metrics.ingest_rate(df)

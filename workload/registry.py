@@ -544,6 +544,24 @@ def match_rules(spark, sf):
     return matched.select("rule", "tenant", us_col())
 
 
+@query(
+    "rules_per_user",
+    sql(
+        """select rule, tenant, us from (select *, 'u' || user_id as own from logs) l join (
+             select distinct 'for u' || user_id as rule, null as rlevel, 'u' || user_id as rservice from events
+             union all values ('any', null, null), ('bad', 'ERROR', null)) r
+           on (rlevel is null or rlevel = level) and (rservice is null or rservice = own)"""
+    ),
+)
+def rules_per_user(spark, sf):
+    """A rule for each user, one open and one for a level, through the join for more rules than are broadcast."""
+    logs = t.logs(spark, sf).withColumn("service", F.concat(F.lit("u"), "user_id"))
+    own = logs.select(F.concat(F.lit("for "), "service").alias("name"), F.lit(None).cast("string").alias("level"), "service").distinct()
+    shared = spark.createDataFrame([("any", None, None), ("bad", "ERROR", None)], own.schema)
+    rules = own.union(shared).select("name", F.lit(5).alias("threshold"), F.lit(60.0).alias("window_s"), F.lit(0.0).alias("cooldown_s"), "level", "service")
+    return alerts_.match_rules(logs, rules, few=100).select("rule", "tenant", us_col())
+
+
 @query("resolve_tenant", sql("select event_id, team as tenant from logs join creds on api_key = 'k' || user_id where team <> 'Bad*'"))
 def resolve_tenant(spark, sf):
     resolved = tenancy.resolve(_requests(spark, sf), _credentials(spark, sf))
@@ -650,6 +668,27 @@ def latency_percentiles(spark, sf):
     return metrics.percentiles(samples, ["run"], "latency_s", [0.5, 0.99])
 
 
+@query(
+    "price_percentiles",
+    sql(
+        """select l_returnflag, l_linestatus, p, coalesce(price, 0) as price
+           from (select distinct l_returnflag from lineitem) cross join (values ('O'), ('F'), ('none')) s(l_linestatus)
+           cross join (values (0.01::double), (0.5::double), (0.99::double), (1.0::double)) ps(p) left join (
+             select l_returnflag, l_linestatus, p, l_extendedprice as price from (
+               select l_returnflag, l_linestatus, l_extendedprice, count(*) over (partition by l_returnflag, l_linestatus) as n,
+                 row_number() over (partition by l_returnflag, l_linestatus order by l_extendedprice) - 1 as place from lineitem)
+             cross join (values (0.01::double), (0.5::double), (0.99::double), (1.0::double)) ps(p)
+             where place = least(cast(floor(n * p) as bigint), n - 1)) using (l_returnflag, l_linestatus, p)"""
+    ),
+)
+def price_percentiles(spark, sf):
+    """Groups of more values than are put in order at once, and groups without any."""
+    lines = t.table(spark, sf, "lineitem").withColumnRenamed("l_extendedprice", "price")
+    status = F.explode(F.array(*map(F.lit, ("O", "F", "none")))).alias("l_linestatus")
+    groups = lines.select("l_returnflag").distinct().select("l_returnflag", status)
+    return metrics.percentiles(lines, ["l_returnflag", "l_linestatus"], "price", [0.01, 0.5, 0.99, 1.0], limit=1_000, groups=groups)
+
+
 @query(
     "throughput",
     sql(
