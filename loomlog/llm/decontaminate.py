@@ -35,7 +35,7 @@ def _spelled(data: np.ndarray, found: words.Words, lo: int, hi: int) -> bytes:
     return b" ".join(data[s:e].tobytes().lower() for s, e in zip(found.starts[lo:hi].tolist(), found.ends[lo:hi].tolist(), strict=True))
 
 
-def windows(items: DataFrame, item_id: str, text: str, width: int, unnamed: bool = False) -> DataFrame:
+def windows(items: DataFrame, item_id: str, text: str, width: int) -> DataFrame:
     """The distinct windows of all items: ``words`` (blank between), ``items`` (sorted ids as text; without the null ones)."""
     source = items.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{text}`").cast("string").alias("text"))
 
@@ -48,7 +48,7 @@ def windows(items: DataFrame, item_id: str, text: str, width: int, unnamed: bool
                 names = batch.column(0).slice(lo, hi - lo).to_pylist()
                 for row, name in enumerate(names):
                     a, b = int(found.bounds[row]), int(found.bounds[row + 1])
-                    if (name is None and not unnamed) or a == b:
+                    if a == b:
                         continue
                     for i in range(a, max(b - width, a) + 1):
                         owners.append(name)
@@ -182,7 +182,6 @@ def mark(
     item_text: str = "text",
     width: int = 10,
     keep: list[str] | None = None,
-    unnamed: bool = False,
 ) -> DataFrame:
     """Adds ``n_words``, ``spans`` and ``hit_items`` to every document.
 
@@ -190,15 +189,15 @@ def mark(
     ``width`` consecutive words of an item, or the whole item if it has fewer but not none.
     ``spans`` are the maximal runs of words inside windows as (first, after) word numbers, and
     ``hit_items`` the sorted ids (as text) whose windows occur. Null and empty texts have no words;
-    items without words have no windows, nor have items with a null id, unless ``unnamed``: then their
-    windows mark words, but add no id. Windows that several items share hit all
+    items without words have no windows. Windows of
+    items with a null id mark words, but add no id. Windows that several items share hit all
     of them; repeated documents get equal results. Columns named like the added ones are replaced.
 
     The windows are broadcast in blocks of at most ``BLOCK_WINDOWS``; however many there are, all
     documents meet every block, and nothing of a document is shuffled. All blocks go through the driver and
     stay there and on the executors until the query ends, about ten times the text of the items.
     """
-    found = checkpointed(rarest(windows(items, item_id, item_text, width, unnamed), docs, text, width))
+    found = checkpointed(rarest(windows(items, item_id, item_text, width), docs, text, width))
     blocks = max(1, -(-found.count() // BLOCK_WINDOWS))
     shared = []
     for block in range(blocks):

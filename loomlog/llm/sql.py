@@ -8,7 +8,7 @@ with doc_words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_ALNUM}') w from documents
 ), item_words as (
   select item_id::varchar item, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_ALNUM}') w
-  from benchmark where item_id is not null
+  from benchmark
 ), wins as (
   select item, least(10, len(w)) size, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') win
   from (select item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) i from item_words where len(w) > 0)
@@ -18,7 +18,7 @@ with doc_words as (
         from doc_words, (select distinct size from wins))
 ), hits as (select distinct doc_id, i, wins.size, item from starts join wins using (win)),
 covered as (select doc_id, count(distinct j) n from (select doc_id, unnest(range(i, i + size)) j from hits) group by 1),
-found as (select doc_id, list_sort(list(distinct item)) items from hits group by 1)
+found as (select doc_id, list_sort(list(distinct item) filter (where item is not null)) items from hits group by 1)
 select d.doc_id, len(d.w)::bigint n_words, coalesce(c.n, 0)::bigint n_hit, coalesce(len(f.items), 0)::bigint n_items,
   sha256(coalesce(array_to_string(f.items, ','), '')) items_sha256, c.n is not null contaminated
 from doc_words d left join covered c using (doc_id) left join found f using (doc_id)
