@@ -5,7 +5,8 @@ are found in the text. Each entity is named by its canonical form (letters lower
 their signs but the + of a phone number), and a keyed hash of it draws the surrogate: the same entity gets the same one in every
 spelling and document, a digit stays a digit, a letter a letter of its case, a name keeps gender and script.
 Surrogates of different entities are compared over the whole corpus; where two meet, or one meets a
-real entity, all but one draw again until none do.
+real entity, all but one draw again until none do. A name that a document gives with a title is replaced in that document
+without one too: as a whole and by its last part.
 """
 
 from __future__ import annotations
@@ -30,10 +31,15 @@ KINDS = {
     "token": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9+])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![0-9])|(?<![0-9+])[0-9]{13,19}(?![0-9])",
+    # what looks like a card; it is one if `_is_entity` agrees
+    "card": r"(?<![0-9+])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![0-9])|(?<![0-9+])[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])|(?<![0-9+])[0-9]{13,19}(?![0-9])",
     "phone": r"(?<![0-9])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
     "name": rf"(?<![\p{{L}}])(?:{_TITLES})\.? {_NAME}",
 }
+#: A word that may be a part of a name; what follows an apostrophe belongs to it only if it is capitalised.
+_NAME_WORD = r"(?<!\p{L})\p{Lu}\p{L}*+(?:['’-]\p{Lu}\p{L}*+){0,3}"
+#: Cards begin with one of these digits, by their industry.
+_CARD_STARTS = "23456"
 ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A text without any of these holds no entity; they are quick to look for.
 _HINT = rf"[0-9@]|(?:AKIA|ASIA)[A-Z0-9]{{16}}|[-_][A-Za-z0-9_-]{{16}}|[0-9A-Fa-f]{{32}}|(?:{_TITLES})\.? \p{{Lu}}"
@@ -51,6 +57,8 @@ MAX_LISTED = 1_000
 LONGEST_NUMBER = 64
 #: From this draw on a surrogate also gets more characters, so a small space of forms cannot run out.
 LONGER_FROM = 4
+#: More draws than this mean that a kind has hardly more forms than the corpus has entities.
+MAX_DRAWS = 100
 
 
 def kind_of(value: Column) -> Column:
@@ -90,11 +98,23 @@ def canonical(value: Column) -> Column:
     return _let(kind_of(value), form)
 
 
-def entities(text: Column) -> Column:
-    """All entities of a text in their order, as they are spelled."""
+def _matches(text: Column) -> Column:
+    """All that looks like an entity, in its order."""
     return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def _is_entity(value: Column) -> Column:
+    """False for a run of digits like a card's without a card's first digit or checksum."""
+    bare = F.regexp_replace(value, "[ -]", "")
+    card = F.substr(bare, F.lit(1), F.lit(1)).isin(*_CARD_STARTS) & (F.pmod(_luhn_sum(bare), F.lit(10)) == 0)
+    return ~value.rlike("^[0-9][0-9 -]{12,22}$") | card
+
+
+def entities(text: Column) -> Column:
+    """All entities of a text in their order, as they are spelled; without untitled mentions of names."""
+    return F.filter(_matches(text), _is_entity)
+
+
 def _let(value: Column, then) -> Column:
     """``then`` of a value that is computed once."""
     return F.transform(F.array(value), then)[0]
@@ -238,7 +258,7 @@ def draws(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     found = docs.select(F.explode(F.transform(entities(body), lambda e: F.struct(canonical(e).alias("form"), e.alias("value")))).alias("e"))
     known = checkpointed(found.groupBy("e.form").agg(F.min("e.value").alias("value")).withColumn("draw", F.lit(0)))
-    while True:
+    for _ in range(MAX_DRAWS):
         made = known.withColumn("made", _let(surrogate(F.col("value"), F.col("draw"), key), canonical))
         real = made.join(known.select(F.col("form").alias("made")).distinct(), "made", "left_semi").select("form")
         shared = made.groupBy("made").agg(F.min("form").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -247,19 +267,85 @@ def draws(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         if losers.isEmpty():
             return known.where("draw > 0").select("form", "draw")
         known = checkpointed(known.join(losers, "form", "left").select("form", "value", (F.col("draw") + F.coalesce("again", F.lit(0))).alias("draw")))
+    raise RuntimeError(f"some surrogates still meet after {MAX_DRAWS} draws: the corpus has about as many entities as their kind has forms")
+
+
+def _people(told: Column) -> Column:
+    """The distinct names among entities, as lists to look words up in: ``all`` by their last parts, with the gender of the title and
+    what replaces that part; ``longer``, those of several parts; and ``pairs`` of neighbouring parts, with what replaces the first
+    (``lead``) and the second (``trail``)."""
+    def one(e: Column) -> Column:
+        parts = F.transform(F.split(F.lower(_bare(e["value"])), " "), lambda p: F.regexp_replace(p, "['’]s$", ""))
+        return F.struct(parts.alias("parts"), _gender(e["value"]).alias("gender"), F.split(_bare(e["surrogate"]), " ").alias("new"))
+
+    def lists(names: Column) -> Column:
+        tail = lambda p: F.struct(F.element_at(p["parts"], -1).alias("last"), p["gender"].alias("gender"), F.element_at(p["new"], -1).alias("new"))
+        pair = lambda p, j: F.struct(F.concat_ws(" ", F.get(p["parts"], j), F.get(p["parts"], j + 1)).alias("pair"), F.get(p["new"], j).alias("lead"), F.get(p["new"], j + 1).alias("trail"))
+        several = F.filter(names, lambda p: F.size(p["parts"]) > 1)
+        pairs = F.flatten(F.transform(several, lambda p: F.transform(F.sequence(F.lit(0), F.size(p["parts"]) - 2), lambda j: pair(p, j))))
+        return F.struct(F.transform(names, tail).alias("all"), F.transform(several, tail).alias("longer"), F.array_distinct(pairs).alias("pairs"))
+
+    return _let(F.array_distinct(F.transform(F.filter(told, lambda e: e["kind"] == "name"), one)), lists)
+
+
+def _looked_up(keys: Column, values: Column, key: Column) -> Column:
+    """The value beside the first of equal keys, or null."""
+    return F.get(values, F.nullif(F.array_position(keys, key), F.lit(0)).cast("int") - 1)
+
+
+def _cased(new: Column, word: Column) -> Column:
+    return F.when((word == F.upper(word)) & (F.char_length(word) > 1), F.upper(new)).otherwise(F.initcap(new))
+
+
+def _titled_again(e: Column, people: Column) -> Column:
+    """An entity that is a title and one name: by the last part of a longer name of the document that it may be."""
+    def resolved(x: Column) -> Column:
+        fits = lambda p: (p["last"] == F.lower(x["bare"])) & ((p["gender"] == x["gender"]) | (p["gender"] == 2) | (x["gender"] == 2))
+        title = F.substr(e["value"], F.lit(1), F.char_length(e["value"]) - F.char_length(x["bare"]))
+        known = F.array_contains(people["longer"]["last"], F.lower(x["bare"]))
+        new = F.when(known, F.get(F.filter(people["longer"], fits), F.lit(0))["new"])
+        return F.struct(e["kind"].alias("kind"), e["value"].alias("value"), F.coalesce(F.concat(title, _cased(new, x["bare"])), e["surrogate"]).alias("surrogate"))
+
+    return F.when((e["kind"] != "name") | F.contains(_bare(e["value"]), F.lit(" ")), e).otherwise(_let(F.struct(_bare(e["value"]).alias("bare"), _gender(e["value"]).alias("gender")), resolved))
+
+
+def _mentions(piece: Column, people: Column) -> Column:
+    """(gap, value, surrogate) of the capitalised words of a text without entities, and a last gap; surrogate is null for words that
+    name nobody. A word is a mention if it is the last part of a name, or a part beside the part that stands next to it."""
+    def of(x: Column) -> Column:
+        words, gaps = x["words"], x["gaps"]
+
+        def one(word: Column, i: Column) -> Column:
+            low, pairs = F.lower(word), people["pairs"]
+            after = F.when(F.get(gaps, i + 1) == " ", F.concat_ws(" ", low, F.lower(F.get(words, i + 1))))
+            before = F.when(F.get(gaps, i) == " ", F.concat_ws(" ", F.lower(F.get(words, i - 1)), low))
+            new = F.coalesce(
+                _looked_up(pairs["pair"], pairs["trail"], before),
+                _looked_up(pairs["pair"], pairs["lead"], after),
+                _looked_up(people["all"]["last"], people["all"]["new"], low),
+            )
+            return F.struct(F.get(gaps, i).alias("gap"), word.alias("value"), _cased(new, word).alias("surrogate"))
+
+        end = F.struct(F.element_at(gaps, -1).alias("gap"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("surrogate"))
+        return F.concat(F.transform(words, one), F.array(end))
+
+    return _let(F.struct(F.regexp_extract_all(piece, F.lit(_NAME_WORD), F.lit(0)).alias("words"), F.split(piece, _NAME_WORD, -1).alias("gaps")), of)
 
 
 def replace(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The documents with surrogates in ``text``, and ``entities``: (kind, value, surrogate) in text order.
 
     Whole texts are searched. A null text stays null, an empty one empty, both without entities. Equal
-    rows get equal results. A column named ``entities`` is replaced; an empty table stays empty.
+    rows get equal results. A column named ``entities`` is replaced; an empty table stays empty. A number that
+    only looks like a card stays. Capitalised words that mention a name which the text gives with a title count as entities of
+    kind ``name``; looking for them costs the words times the distinct names of that text. A title before one name
+    takes the last part of a longer name of the text, unless their titles tell different genders.
     """
     again = draws(docs, key, text)
     columns = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("entities", text.lower())]
     others = [F.col(f"`{c}`") for c in columns]
     body = F.col(f"`{text}`").cast("string")
-    rows = docs.select(*others, body.alias("__text"), entities(F.coalesce(body, F.lit(""))).alias("__found"))
+    rows = docs.select(*others, body.alias("__text"), _matches(F.coalesce(body, F.lit(""))).alias("__found"))
     if len(again.take(MAX_LISTED + 1)) <= MAX_LISTED:
         # few enough to go along with every task, so no text is shuffled
         listed = again.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("form", "draw")))).alias("m"))
@@ -272,12 +358,25 @@ def replace(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text
         maps = held.groupBy("__k1", "__k2").agg(F.map_from_entries(F.collect_list(F.struct("form", "draw"))).alias("__draws"))
         rows = rows.join(maps, ["__k1", "__k2"], "left")
     draw = lambda e: F.coalesce(F.try_element_at("__draws", canonical(e)), F.lit(0))
-    told_of = lambda x: F.struct(kind_of(x["e"]).alias("kind"), x["e"].alias("value"), surrogate(x["e"], x["draw"], key).alias("surrogate"))
+    stays = lambda x: F.struct(F.lit(None).cast("string").alias("kind"), x["e"].alias("value"), x["e"].alias("surrogate"))
+    told_of = lambda x: F.when(_is_entity(x["e"]), F.struct(kind_of(x["e"]).alias("kind"), x["e"].alias("value"), surrogate(x["e"], x["draw"], key).alias("surrogate"))).otherwise(stays(x))
     made = F.transform("__found", lambda e: _let(F.struct(e.alias("e"), draw(e).alias("draw")), told_of))
-    told = rows.select(*others, "__text", made.alias("entities"))
-    # The text between entities, each followed by what replaces the entity after it.
-    between = F.split("__text", ENTITY, -1)
-    joined = F.array_join(F.transform(F.arrays_zip(between.alias("a"), F.col("entities.surrogate").alias("b")), lambda x: F.concat(F.coalesce(x["a"], F.lit("")), F.coalesce(x["b"], F.lit("")))), "")
+    told = rows.select(*others, "__text", made.alias("__told")).withColumn("__people", _people(F.col("__told")))
+    # The text between what looks like entities; each piece is followed by what replaces the entity after it.
+    steps = F.arrays_zip(F.split("__text", ENTITY, -1).alias("gap"), F.col("__told").alias("e"))
+    plain = F.transform(steps, lambda x: F.struct(x["gap"].alias("gap"), x["e"]["kind"].alias("kind"), x["e"]["value"].alias("value"), x["e"]["surrogate"].alias("surrogate")))
+
+    def with_mentions(x: Column) -> Column:
+        said = F.transform(_mentions(x["gap"], F.col("__people")), lambda m: F.struct(m["gap"].alias("gap"), F.when(m["surrogate"].isNotNull(), "name").alias("kind"), m["value"].alias("value"), F.coalesce(m["surrogate"], m["value"]).alias("surrogate")))
+        ends = lambda e: F.struct(F.lit("").alias("gap"), e["kind"].alias("kind"), e["value"].alias("value"), e["surrogate"].alias("surrogate"))
+        return F.concat(said, F.array(_let(F.when(x["e"]["kind"] == "name", _titled_again(x["e"], F.col("__people"))).otherwise(x["e"]), ends)))
+
+    told = told.withColumn("__steps", F.when(F.size("__people.all") > 0, F.flatten(F.transform(steps, with_mentions))).when(F.size("__told") > 0, plain))
+    told = told.withColumn("entities", F.transform(F.filter(F.coalesce("__steps", F.array().cast(_STEPS)), lambda x: x["kind"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), x["surrogate"].alias("surrogate"))))
+    joined = F.array_join(F.transform("__steps", lambda x: F.concat(x["gap"], F.coalesce(x["surrogate"], F.lit("")))), "")
     told = told.withColumn("__new", F.when(F.size("entities") > 0, joined).otherwise(F.col("__text")))
     order = [F.col("__new").alias(c) if c.lower() == text.lower() else F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c.lower() != "entities"]
     return told.select(*order, "entities")
+
+
+_STEPS = "array<struct<gap:string,kind:string,value:string,surrogate:string>>"

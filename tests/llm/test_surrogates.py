@@ -161,6 +161,44 @@ def test_odd_rows(spark):
     assert other.first().text != TEXTS[0]
 
 
+def replaced(spark, *texts):
+    rows = surrogates.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()
+    return [r for _, r in sorted((r.doc_id, r) for r in rows)]
+
+
+def test_only_card_numbers_are_cards(spark):
+    kept = ["at 1704067200000 ms", "id 4111111111111112 here", "4111 1111 1111 1112", "order 9111111111111111", "0000000000000000", "1111 2222 3333 4444"]
+    cards = ["4111111111111111", "4111 1111 1111 1111", "5555-5555-5555-4444", "3782 822463 10005", "378282246310005", "6011111111111117"]
+    rows = replaced(spark, *kept, *cards, "4111111111111112 is not 4111111111111111 nor a@b.com")
+    assert [(r.text, r.entities) for r in rows[: len(kept)]] == [(t, []) for t in kept]
+    for r, card in zip(rows[len(kept) : -1], cards, strict=True):
+        (e,) = r.entities
+        assert (e.kind, e.value) == ("card", card) and r.text == e.surrogate != card and luhn(e.surrogate) and e.surrogate[0] == card[0]
+    assert rows[-1].text.startswith("4111111111111112 is not ") and [e.kind for e in rows[-1].entities] == ["card", "email"]
+
+
+def test_names_are_followed_through_a_document(spark):
+    said = "Mr. John Smith wrote. John Smith left; Smith agreed. Dr Smith too, SMITH's view. Johnson and Smithy stayed."
+    other = "Mrs Smith met Mr Adam Smith. Smith spoke. John slept. Adam Smith woke, Mr ADAM SMITH."
+    a, b, c = replaced(spark, said, other, "Smith and John Smith, untitled.")
+    assert c.text == "Smith and John Smith, untitled." and c.entities == []
+    first, last = a.entities[0].surrogate.removeprefix("Mr. ").split()
+    assert a.text == f"Mr. {first} {last} wrote. {first} {last} left; {last} agreed. Dr {last} too, {last.upper()}'s view. Johnson and Smithy stayed."
+    assert [(e.kind, e.value) for e in a.entities] == [("name", v) for v in ("Mr. John Smith", "John", "Smith", "Smith", "Dr Smith", "SMITH")]
+    # a title that tells another gender is another person; what has no title goes by the names in their order
+    lady = b.entities[0].surrogate.removeprefix("Mrs ")
+    adam, smith = b.entities[1].surrogate.removeprefix("Mr ").split()
+    assert lady != smith and b.text == f"Mrs {lady} met Mr {adam} {smith}. {lady} spoke. John slept. {adam} {smith} woke, Mr {adam.upper()} {smith.upper()}."
+    assert [e.value for e in b.entities] == ["Mrs Smith", "Mr Adam Smith", "Smith", "Adam", "Smith", "Mr ADAM SMITH"]
+
+
+def test_a_long_text_of_names(spark):
+    # 500 distinct names, mentioned 40 000 times
+    names = [f"{a}{b}{c}" for a in ("Ba", "Ke", "Lo", "Mu", "Ni") for b in ("da", "fe", "gi", "ho", "ju") for c in "abcdefghijklmnopqrst"]
+    (r,) = replaced(spark, " ".join(f"Mr {n} said." for n in names) + " " + " ".join(f"{n} went." for n in names * 80))
+    assert len(r.entities) == 81 * len(names) and not set(re.findall(r"\w+", r.text)) & (set(names) - {e.surrogate for e in r.entities})
+
+
 def test_no_python_in_the_plan(spark):
     plan = surrogates.replace(edge_docs(spark).select("doc_id", F.col("text")), "k")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
