@@ -2,9 +2,12 @@
 
 Every item is cut into windows of ``width`` words. A window is contained in a document only if
 all its shingles are, so the prefix that must be joined is its single rarest shingle, rarity
-being the count over all documents. A document's shingles are looked up among these prefix
-tokens only; a match fixes where the window would begin, the bounds of the text are applied,
-and the window's words are compared one by one.
+being the count over all documents. A document's shingles that may be such prefix tokens are joined
+to the windows by the shingle's hash, with the words around them; the place of the shingle in the window
+bounds where the window would begin, and its words are compared one by one.
+
+Tasks know which shingles may matter by a bitmap of hashes, whose size has a fixed bound. It only saves
+rows: a bitmap that is too small for a benchmark lets more shingles through to the join.
 """
 
 from __future__ import annotations
@@ -14,15 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.llm import arrow, words
 from loomlog.session import checkpointed
 
 SHINGLE = 3
-#: Windows that are broadcast at once (at 10 words about 20 MB); more go in several blocks.
-BLOCK_WINDOWS = 100_000
+#: A bitmap has 16 bits for each of its hashes, but at most two to the power of this (32 MB).
+MOST_BITS = 28
+#: Bits in one row of a bitmap while it is built; what Spark's bitmap function makes.
+_ROW_BITS = 15
 
 
 def _split(column: pa.Array) -> tuple[np.ndarray, words.Words]:
@@ -58,120 +63,145 @@ def windows(items: DataFrame, item_id: str, text: str, width: int) -> DataFrame:
     return source.mapInArrow(run, "item string, words string").groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-class Index:
-    """Windows by their prefix token; built in each task from the broadcast rows."""
-
-    def __init__(self, rows: list[tuple[str, list[str], int]]):
-        self.words = [w.encode() for w, _, _ in rows]
-        self.items = [items for _, items, _ in rows]
-        column = pa.array([w for w, _, _ in rows], pa.string())
-        found = _split(column)[1] if rows else None
-        self.size = np.diff(found.bounds) if rows else np.zeros(0, np.int64)
-        self.hashes = found.hashes if rows else np.zeros(0, np.uint64)
-        self.first = found.bounds[:-1] if rows else np.zeros(0, np.int64)
-        self.offset = np.array([o for _, _, o in rows], np.int64)
-        self.by_width = {}
-        for k in sorted(set(np.minimum(self.size, SHINGLE).tolist())):
-            of = np.flatnonzero(np.minimum(self.size, SHINGLE) == k)
-            token = words.run_hashes(self.hashes, k)[self.first[of] + self.offset[of]]
-            order = np.argsort(token, kind="stable")
-            token, of = token[order], of[order]
-            distinct, begins, counts = np.unique(token, return_index=True, return_counts=True)
-            self.by_width[k] = (distinct, begins, counts, of, _prefilter(distinct))
-
-    def matches(self, data: np.ndarray, found: words.Words) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (first word, window) of all occurrences."""
-        starts, of = [], []
-        end_of = None
-        for k, (tokens, begins, counts, ordered, likely) in self.by_width.items():
-            hashes = words.run_hashes(found.hashes, k)
-            at = np.flatnonzero(likely[hashes >> np.uint64(44)])
-            slot = np.minimum(np.searchsorted(tokens, hashes[at]), len(tokens) - 1)
-            same = tokens[slot] == hashes[at]
-            at, slot = at[same], slot[same]
-            if not len(at):
-                continue
-            n = counts[slot]
-            window = ordered[np.repeat(begins[slot] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-            start = np.repeat(at, n) - self.offset[window]
-            token_at = np.repeat(at, n)
-            if end_of is None:
-                row = found.row_of()
-                end_of = found.bounds[1:], found.bounds[:-1], row
-            row = end_of[2][token_at]
-            fits = (start >= end_of[1][row]) & (start + self.size[window] <= end_of[0][row])
-            start, window = start[fits], window[fits]
-            for size in np.unique(self.size[window]):
-                some = np.flatnonzero(self.size[window] == size)
-                s, w = start[some], window[some]
-                for j in range(size):
-                    alike = found.hashes[s + j] == self.hashes[self.first[w] + j]
-                    s, w = s[alike], w[alike]
-                exact = [_spelled(data, found, a, a + int(size)) == self.words[b] for a, b in zip(s.tolist(), w.tolist(), strict=True)]
-                starts.append(s[exact])
-                of.append(w[exact])
-        if not starts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(starts), np.concatenate(of)
-
-
-def _prefilter(hashes: np.ndarray) -> np.ndarray:
-    """A bit for each value of the upper 20 bits: may a hash be among these?"""
-    table = np.zeros(1 << 20, bool)
-    table[hashes >> np.uint64(44)] = True
-    return table
-
-
-def rarest(windows: DataFrame, docs: DataFrame, text: str, width: int) -> DataFrame:
-    """Adds ``offset``: where the shingle stands that is rarest in the documents, the first of equal ones.
-
-    The shingles of the windows are counted over all documents; only counts by shingle are shuffled.
-    """
-    count = F.size(F.split("words", " "))
-    k = F.least(F.lit(SHINGLE), count)
-    spread = windows.select("words", F.posexplode(F.transform(F.sequence(F.lit(0), count - k), lambda i: F.array_join(F.slice(F.split("words", " "), i + 1, k), " "))).alias("offset", "shingle"))
-    wanted = spread.select("shingle").distinct()
-    n = wanted.count()
-    blocks = max(1, -(-n // (4 * BLOCK_WINDOWS)))
-    counted = None
-    for block in range(blocks):
-        part = wanted.where(F.pmod(F.xxhash64("shingle"), F.lit(blocks)) == block)
-        counts = _counted(docs, text, [r.shingle for r in part.collect()])
-        counted = counts if counted is None else counted.unionByName(counts)
-    best = spread.join(counted, "shingle", "left").groupBy("words").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("offset"))).alias("best")
-    )
-    return windows.join(best, "words").select("words", "items", F.col("best.offset").alias("offset"))
-
-
-def _counted(docs: DataFrame, text: str, shingles: list[str]) -> DataFrame:
-    shared = arrow.Shared(docs.sparkSession, shingles)
+def shingles(windows: DataFrame) -> DataFrame:
+    """``words, size, k, offset, token``: each shingle of ``k`` words of a window, where it stands, and its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = shared.broadcast.value
-        found = _split(pa.array(names, pa.string()))[1]
-        size, tables = np.diff(found.bounds), {}
-        for k in set(size.tolist()):
-            of = np.flatnonzero(size == k)
-            token = words.run_hashes(found.hashes, k)[found.bounds[:-1][of]]
-            order = np.argsort(token)
-            tables[k] = (token[order], of[order], _prefilter(token))
-        total = np.zeros(len(names), np.int64)
         for batch in batches:
             column = batch.column(0)
             for lo, hi in arrow.row_ranges(arrow.texts(column)[1]):
-                _, got = _split(column.slice(lo, hi - lo))
-                for k, (tokens, of, likely) in tables.items():
-                    hashes = words.run_hashes(got.hashes, k)
-                    at = np.flatnonzero(likely[hashes >> np.uint64(44)])
-                    at = at[words.whole_runs(got, k)[at]] if len(at) else at
-                    slot = np.minimum(np.searchsorted(tokens, hashes[at]), len(tokens) - 1)
-                    np.add.at(total, of[slot[tokens[slot] == hashes[at]]], 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], pa.string()), pa.array(total[some], pa.int64())], ["shingle", "n"])
+                some = column.slice(lo, hi - lo)
+                found = _split(some)[1]
+                size = np.diff(found.bounds)
+                for k in range(1, SHINGLE + 1):
+                    of = np.flatnonzero(np.minimum(size, SHINGLE) == k)
+                    n = size[of] - k + 1
+                    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    of = np.repeat(of, n)
+                    token = words.run_hashes(found.hashes, k)[found.bounds[:-1][of] + offset]
+                    out = [some.take(pa.array(of)), size[of], np.full(len(of), k), offset, token.view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["words", "size", "k", "offset", "token"])
+
+    return windows.select("words").mapInArrow(run, "words string, size long, k long, offset long, token long")
+
+
+class Bitmap:
+    """Hashes that may be wanted, by their upper bits; the same bits for every ``k``."""
+
+    def __init__(self, tokens: DataFrame):
+        """``tokens`` has rows of ``k, token``. At most 2 ** (MOST_BITS - _ROW_BITS) rows of 4 KB come to the driver."""
+        self.widths = sorted(r.k for r in tokens.select("k").distinct().collect())
+        self.bits = min(max(tokens.count() * 16, 2).bit_length(), MOST_BITS)
+        place = F.shiftrightunsigned("token", 64 - self.bits)
+        rows = tokens.select(F.shiftright(place, _ROW_BITS).alias("row"), place.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("bit"))
+        made = bytearray(max(1 << self.bits, 1 << _ROW_BITS) // 8)
+        step = (1 << _ROW_BITS) // 8
+        for r in rows.groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+            made[r.row * step : (r.row + 1) * step] = r.bits
+        self.shared = arrow.Shared(tokens.sparkSession, bytes(made))
+
+    def found_in(self, got: words.Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each width the places of its shingles that may be wanted, each within its row, and all hashes."""
+        table = np.frombuffer(self.shared.broadcast.value, np.uint8)
+        for k in self.widths:
+            hashes = words.run_hashes(got.hashes, k)
+            place = hashes >> np.uint64(64 - self.bits)
+            likely = (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
+            at = np.flatnonzero(likely)
+            yield k, at[words.whole_runs(got, k)[at]], hashes
+
+
+def _slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, words.Words]]:
+    for lo, hi in arrow.row_ranges(arrow.texts(column)[1]):
+        yield lo, *_split(column.slice(lo, hi - lo))
+
+
+def rarest(windows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """``words, items, size, k, offset, token``: of each window the shingle that is rarest in the documents, the first of equal ones.
+
+    The shingles of the windows are counted over all documents; only counts by hash are shuffled.
+    """
+    spread = checkpointed(shingles(windows))
+    wanted = Bitmap(spread.select("k", "token").distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, got in _slices(batch.column(0)):
+                for _, at, hashes in wanted.found_in(got):
+                    token, n = np.unique(hashes[at], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n, pa.int64())], ["token", "n"])
+
+    told = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "token long, n long")
+    counted = told.groupBy("token").agg(F.sum("n").alias("n"))
+    first = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "token", "size", "k")).alias("best")
+    best = spread.join(counted, "token", "left").groupBy("words").agg(first)
+    return windows.join(best, "words").select("words", "items", "best.size", "best.k", "best.offset", "best.token")
 
-    spread = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "shingle string, n long")
-    return spread.groupBy("shingle").agg(F.sum("n").alias("n"))
+
+def _key(text: Column) -> Column:
+    """Equal texts are one: they have the same passages."""
+    return F.unhex(F.sha2(text, 256))
+
+
+def candidates(docs: DataFrame, text: str, prefixes: DataFrame, width: int) -> DataFrame:
+    """``key, token, near, lead, at``: the shingles of each distinct text that may be the prefix of a window.
+
+    ``near`` are the words that a window around the shingle may have, ``lead`` of them before it; ``at`` lists
+    the numbers of the shingle's first word, all of those with the same words around.
+    """
+    wanted = Bitmap(prefixes.select("k", "token").distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0)
+            for begin, data, got in _slices(batch.column(1)):
+                row_of = got.row_of()
+                for k, at, hashes in wanted.found_in(got):
+                    room = width - k if k == SHINGLE else 0
+                    places = defaultdict(list)
+                    rows = row_of[at]
+                    firsts, afters = got.bounds[:-1][rows], got.bounds[1:][rows]
+                    los, his = np.maximum(at - room, firsts), np.minimum(at + k + room, afters)
+                    token = hashes[at].view(np.int64)
+                    for i, row, first, lo, hi, t in zip(*(x.tolist() for x in (at, rows, firsts, los, his, token)), strict=True):
+                        places[row, t, _spelled(data, got, lo, hi), i - lo].append(i - first)
+                    out = list(places)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            keys.take(pa.array([begin + o[0] for o in out], pa.int64())),
+                            pa.array([o[1] for o in out], pa.int64()),
+                            pa.array([o[2].decode() for o in out], pa.string()),
+                            pa.array([o[3] for o in out], pa.int64()),
+                            pa.array(list(places.values()), pa.list_(pa.int64())),
+                        ],
+                        ["key", "token", "near", "lead", "at"],
+                    )
+
+    body = F.col(f"`{text}`").cast("string")
+    source = docs.select(_key(body).alias("key"), body.alias("text")).where("text is not null")
+    return source.mapInArrow(run, "key binary, token long, near string, lead long, at array<long>").distinct()
+
+
+def _runs(places: Column) -> Column:
+    """The maximal runs of sorted distinct numbers, as (first, after)."""
+    firsts = F.filter(places, lambda p, i: ~F.coalesce(F.get(places, i - 1) == p - 1, F.lit(False)))
+    lasts = F.filter(places, lambda p, i: ~F.coalesce(F.get(places, i + 1) == p + 1, F.lit(False)))
+    return F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("first"), (b + 1).alias("after")))
+
+
+def passages(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, width: int) -> DataFrame:
+    """``key, spans, hit_items`` of each distinct text that has a window."""
+    prefixes = checkpointed(rarest(checkpointed(windows(items, item_id, item_text, width)), docs, text))
+    begin = (F.col("lead") - F.col("offset")).cast("int")
+    held = F.array_join(F.slice(F.split("near", " "), F.greatest(begin, F.lit(0)) + 1, F.col("size").cast("int")), " ")
+    found = candidates(docs, text, prefixes, width).join(prefixes, "token").where((begin >= 0) & (held == F.col("words")))
+    covered = F.flatten(F.transform("at", lambda p: F.sequence(p - F.col("offset"), p - F.col("offset") + F.col("size") - 1)))
+    # What a text has of one window is one row here, so the lists of a text are as long as the text and its items.
+    hit = found.select("key", covered.alias("covered"), "items").groupBy("key").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("places"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("hit_items"),
+    )
+    return hit.select("key", _runs(F.col("places")).alias("spans"), "hit_items")
 
 
 def mark(
@@ -189,63 +219,25 @@ def mark(
     ``width`` consecutive words of an item, or the whole item if it has fewer but not none.
     ``spans`` are the maximal runs of words inside windows as (first, after) word numbers, and
     ``hit_items`` the sorted ids (as text) whose windows occur. Null and empty texts have no words;
-    items without words have no windows. Windows of
+    items without words have no windows, and an empty table of items leaves all documents without spans. Windows of
     items with a null id mark words, but add no id. Windows that several items share hit all
     of them; repeated documents get equal results. Columns named like the added ones are replaced.
 
-    The windows are broadcast in blocks of at most ``BLOCK_WINDOWS``; however many there are, all
-    documents meet every block, and nothing of a document is shuffled. All blocks go through the driver and
-    stay there and on the executors until the query ends, about ten times the text of the items.
+    Windows and documents meet in a join on prefix tokens; of a document only the words around such a token are
+    shuffled for it. Nothing of the items goes through the driver but two bitmaps of at most 32 MB.
+    Spans come back to the documents by a hash of the text, so ``keep`` says what is shuffled for that.
     """
-    found = checkpointed(rarest(windows(items, item_id, item_text, width), docs, text, width))
-    blocks = max(1, -(-found.count() // BLOCK_WINDOWS))
-    shared = []
-    for block in range(blocks):
-        part = found.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block).collect()
-        shared.append(arrow.Shared(docs.sparkSession, [(r.words, r["items"], r.offset) for r in part]))
-
-    def make():
-        def fn(column: pa.Array) -> list[pa.Array]:
-            data, got = _split(column)
-            n = len(got.bounds) - 1
-            edge = np.zeros(len(got.hashes) + 1, np.int32)
-            hit_items: dict[int, set] = defaultdict(set)
-            row = None
-            for s in shared:
-                index = s.as_(Index, only=len(shared) > 4)
-                start, window = index.matches(data, got)
-                if not len(start):
-                    continue
-                np.add.at(edge, start, 1)
-                np.add.at(edge, start + index.size[window], -1)
-                row = got.row_of() if row is None else row
-                for r, w in set(zip(row[start].tolist(), window.tolist(), strict=True)):
-                    hit_items[r].update(index.items[w])
-            spans: list[list] = [[]] * n
-            if hit_items:
-                inside = np.cumsum(edge)[:-1] > 0
-                first = inside.copy()
-                first[1:] &= ~inside[:-1]
-                first[got.bounds[:-1][got.bounds[:-1] < len(inside)]] = inside[got.bounds[:-1][got.bounds[:-1] < len(inside)]]
-                last = inside.copy()
-                last[:-1] &= ~inside[1:]
-                ends = got.bounds[1:][got.bounds[1:] > 0] - 1
-                last[ends] = inside[ends]
-                begins, afters = np.flatnonzero(first), np.flatnonzero(last) + 1
-                spans = [[] for _ in range(n)]
-                for a, b, r in zip(begins.tolist(), afters.tolist(), row[begins].tolist(), strict=True):
-                    base = int(got.bounds[r])
-                    spans[r].append((a - base, b - base))
-            return [
-                pa.array(np.diff(got.bounds), pa.int64()),
-                pa.array([[{"first": a, "after": b} for a, b in x] for x in spans], _SPANS),
-                pa.array([sorted(hit_items[r]) if r in hit_items else [] for r in range(n)], pa.list_(pa.string())),
-            ]
-
-        return fn
-
-    added = "n_words long, spans array<struct<first: long, after: long>>, hit_items array<string>"
-    return arrow.appended(docs, text, make, added, keep)
-
-
-_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
+    found = checkpointed(passages(docs, items, text, item_id, item_text, width))
+    added = ("n_words", "spans", "hit_items")
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in added]
+    body = F.col(f"`{text}`").cast("string")
+    n_words = F.coalesce(F.regexp_count(body, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+    # The key has a name of its own, so that no column of the documents is taken for it.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), n_words.alias("n_words"), _key(body).alias("__key"))
+    joined = rows.join(found.withColumnRenamed("key", "__key"), "__key", "left")
+    return joined.select(
+        *[F.col("__row").getField(c).alias(c) for c in names],
+        "n_words",
+        F.coalesce("spans", F.array().cast("array<struct<first:bigint,after:bigint>>")).alias("spans"),
+        F.coalesce("hit_items", F.array().cast("array<string>")).alias("hit_items"),
+    )

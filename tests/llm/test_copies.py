@@ -109,9 +109,9 @@ def brute_marks(rows, items, width):
     return out
 
 
-@pytest.mark.parametrize("block", [100_000, 20])
-def test_marks_are_those_of_all_windows(spark, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", block)
+@pytest.mark.parametrize("bits", [28, 3])
+def test_marks_are_those_of_all_windows(spark, monkeypatch, bits):
+    monkeypatch.setattr(decontaminate, "MOST_BITS", bits)  # few bits: nearly every shingle is a candidate
     docs = edge_docs(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     text = {i: t for i, t in rows}
@@ -132,6 +132,18 @@ def test_items_without_an_id_mark_words(spark):
     assert told == {1: ([(1, 4)], ["7"]), 2: ([], [])}
 
 
+def test_a_passage_of_many_texts_and_windows_of_one_shingle(spark):
+    passage = "p q r s t u v w x y z"
+    docs = spark.createDataFrame([(i, f"a{i} {passage} b{i}") for i in range(3_000)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"c{i} d{i} {passage} e{i}") for i in range(40)], "item_id long, text string")
+    marked = decontaminate.mark(docs, items, keep=["doc_id"])
+    assert marked.columns == ["doc_id", "n_words", "spans", "hit_items"]
+    everyone = sorted(map(str, range(40)))
+    told = marked.collect()
+    assert len(told) == 3_000
+    assert all([tuple(s) for s in r.spans] == [(1, 12)] and r.hit_items == everyone and r.n_words == 13 for r in told)
+
+
 def brute_repeats(rows, width):
     split = [(t or "").encode().split() for _, t in rows]
     at = Counter(tuple(w[k : k + width]) for w in split for k in range(len(w) - width + 1))

@@ -85,4 +85,4 @@ def test_native_operators_have_no_python(spark):
     measured = weak_rules.measure(docs)
     for frame in (weak_rules.judge(measured, weak_rules.fit(measured)), surrogates.replace(docs, "k")):
         assert not re.search("Python|Pandas|Arrow", frame._jdf.queryExecution().toString())
-    assert "MapInArrow" in decontaminate.mark(docs, docs.withColumnRenamed("doc_id", "item_id"))._jdf.queryExecution().toString()
+    assert "MapInArrow" in decontaminate.windows(docs, "doc_id", "text", 10)._jdf.queryExecution().toString()
