@@ -15,8 +15,10 @@ from loomlog.session import new_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the posterior of the votes accept."""
-    measured = weak_rules.measure(docs)
+    """Documents that the base rules and the posterior of the votes accept; the texts are measured once, and written with the measures."""
+    written = f"{new_folder(spark, 'measured')}/documents"
+    weak_rules.measure(docs).write.parquet(written)
+    measured = spark.read.parquet(written)
     return weak_rules.accepted(weak_rules.judge(measured, weak_rules.fit(measured))).select(*docs.columns)
 
 
