@@ -24,8 +24,8 @@ from loomlog.llm import arrow, words
 from loomlog.session import checkpointed
 
 SHINGLE = 3
-#: A bitmap has 16 bits for each of its hashes, but at most two to the power of this (32 MB).
-MOST_BITS = 28
+#: A bitmap has about so many bits for each of its hashes, but at most two to the power of ``MOST_BITS`` (32 MB).
+BITS_A_HASH, MOST_BITS = 256, 28
 #: Bits in one row of a bitmap while it is built; what Spark's bitmap function makes.
 _ROW_BITS = 15
 
@@ -86,14 +86,15 @@ def shingles(windows: DataFrame) -> DataFrame:
 
 
 class Bitmap:
-    """Hashes that may be wanted, by their upper bits; the same bits for every ``k``."""
+    """Hashes that may be wanted: the bits at their upper and at their lower end are both set; the same bits for every ``k``."""
 
     def __init__(self, tokens: DataFrame):
         """``tokens`` has rows of ``k, token``. At most 2 ** (MOST_BITS - _ROW_BITS) rows of 4 KB come to the driver."""
         self.widths = sorted(r.k for r in tokens.select("k").distinct().collect())
-        self.bits = min(max(tokens.count() * 16, 2).bit_length(), MOST_BITS)
-        place = F.shiftrightunsigned("token", 64 - self.bits)
-        rows = tokens.select(F.shiftright(place, _ROW_BITS).alias("row"), place.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("bit"))
+        self.bits = min(max(tokens.count() * BITS_A_HASH, 2).bit_length(), MOST_BITS)
+        ends = F.array(F.shiftrightunsigned("token", 64 - self.bits), F.col("token").bitwiseAND(F.lit((1 << self.bits) - 1)))
+        place = F.col("place")
+        rows = tokens.select(F.explode(ends).alias("place")).select(F.shiftright(place, _ROW_BITS).alias("row"), place.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("bit"))
         made = bytearray(max(1 << self.bits, 1 << _ROW_BITS) // 8)
         step = (1 << _ROW_BITS) // 8
         for r in rows.groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
@@ -105,12 +106,15 @@ class Bitmap:
         table = np.frombuffer(self.shared.broadcast.value, np.uint8)
         for k in self.widths:
             hashes = words.run_hashes(got.hashes, k)
-            place = hashes >> np.uint64(64 - self.bits)
-            likely = (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
-            at = np.flatnonzero(likely)
+            at = np.flatnonzero(_held(table, hashes >> np.uint64(64 - self.bits)))
+            at = at[_held(table, hashes[at] & np.uint64((1 << self.bits) - 1))]
             yield k, at[words.whole_runs(got, k)[at]], hashes
 
 
+def _held(table: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return ((table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
 def _slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, words.Words]]:
     for lo, hi in arrow.row_ranges(arrow.texts(column)[1]):
         yield lo, *_split(column.slice(lo, hi - lo))
@@ -204,6 +208,10 @@ def passages(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_te
     return hit.select("key", _runs(F.col("places")).alias("spans"), "hit_items")
 
 
+def _counted(column: pa.Array) -> list[pa.Array]:
+    return [pa.array(np.diff(_split(column)[1].bounds), pa.int64())]
+
+
 def mark(
     docs: DataFrame,
     items: DataFrame,
@@ -231,12 +239,10 @@ def mark(
     added = ("n_words", "spans", "hit_items")
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in added]
     body = F.col(f"`{text}`").cast("string")
-    n_words = F.coalesce(F.regexp_count(body, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
-    # The key has a name of its own, so that no column of the documents is taken for it.
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), n_words.alias("n_words"), _key(body).alias("__key"))
+    rows = arrow.appended(docs.withColumn("__key", _key(body)), text, lambda: _counted, "n_words long", [*names, "__key"])
     joined = rows.join(found.withColumnRenamed("key", "__key"), "__key", "left")
     return joined.select(
-        *[F.col("__row").getField(c).alias(c) for c in names],
+        *[F.col(f"`{c}`") for c in names],
         "n_words",
         F.coalesce("spans", F.array().cast("array<struct<first:bigint,after:bigint>>")).alias("spans"),
         F.coalesce("hit_items", F.array().cast("array<string>")).alias("hit_items"),
