@@ -2,21 +2,30 @@
 later. Cooldowns and first-hit-anchored rate windows are both this.
 
 The choice is sequential, but only within a group. Groups that fit an array are folded where
-they are. A larger group is never gathered: its times become ranks, each rank points to the
-rank that would follow it, and the pointers are doubled (1, 2, 4, … steps) by joins on evenly
-spread keys.
+they are. A larger group is never gathered: it is cut into chunks of whole gaps. What was taken before a
+chunk can only matter in its first gap, so a chunk is known by where it is left for each time there. A
+walk over these few times tells where every chunk is entered, and each chunk is walked on its own.
+
+Where even these times are too many for an array, they become ranks, each rank points to the rank that would
+follow it, and the pointers are doubled (1, 2, 4, … steps) by joins on evenly spread keys.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomlog.operators.slices import SLICE_US, counts_at
+from loomlog.operators.slices import SLICE_US, counts_at, running, slice_of
 from loomlog.session import broadcast_if_small, checkpointed
 
 FOLD_MAX = 1_000_000  # times of one group in an array: 8 MB
 TAKEN_MAX = 20_000  # times taken of one group, as the fold copies its result at each take
+CHUNK_MAX = 500_000  # times of one chunk, from which on it ends; at most twice as many are in one task
 
 
 def spaced(
@@ -26,6 +35,7 @@ def spaced(
     gap: str,
     fold_max: int = FOLD_MAX,
     width: int = SLICE_US,
+    chunk_max: int = CHUNK_MAX,
 ) -> DataFrame:
     """The (keys, at) that are taken. ``gap`` is one value per group; (keys, at) is unique."""
     points = checkpointed(points.select(*keys, at, F.greatest(F.col(gap), F.lit(1)).alias("_gap")))
@@ -36,7 +46,7 @@ def spaced(
         return _fold(points, keys, at)
     large = broadcast_if_small(checkpointed(large))
     gathered = _fold(points.join(large, keys, "left_anti"), keys, at)
-    return gathered.unionByName(_doubling(points.join(large, keys, "left_semi"), keys, at, width))
+    return gathered.unionByName(_chunked(points.join(large, keys, "left_semi"), keys, at, fold_max, width, chunk_max))
 
 
 def _fold(points: DataFrame, keys: list[str], at: str) -> DataFrame:
@@ -57,10 +67,79 @@ def _fold(points: DataFrame, keys: list[str], at: str) -> DataFrame:
     )
 
 
+def _chunked(points: DataFrame, keys: list[str], at: str, fold_max: int, width: int, chunk_max: int) -> DataFrame:
+    points = points.withColumn("_cell", F.col(at) - F.pmod(F.col(at), F.col("_gap")))
+    dealt = checkpointed(points.join(_chunks(points, keys, width, chunk_max), [*keys, "_cell"]).drop("_cell"))
+    # at most one time of a single gap is taken, so its times stand for themselves
+    wide, until = dealt.where("_start is not null"), (F.col(at) + F.col("_gap")).alias("_until")
+    alone = dealt.where("_start is null").select(*keys, "_start", at, until)
+    entries = checkpointed(alone.unionByName(wide.groupBy(*keys, "_start").applyInArrow(_entries(at), alone.schema)))
+
+    large = broadcast_if_small(entries.groupBy(*keys).count().where(F.col("count") > fold_max).select(*keys))
+    only = T.StructType(entries.select(*keys, at).schema.fields)
+    entered = entries.join(large, keys, "left_anti").withColumn("_entry", F.lit(None).cast("long"))
+    entered = entered.groupBy(*keys).applyInArrow(_walk(at, only.names), only)
+    if not large.isEmpty():
+        entered = entered.unionByName(_doubling(entries.join(large, keys, "left_semi"), keys, at, width))
+    entered = checkpointed(entries.join(entered, [*keys, at], "left_semi").select(*keys, "_start", at))
+
+    ways = entered.where("_start is not null").withColumnRenamed(at, "_entry")
+    walked = wide.withColumn("_until", until).join(broadcast_if_small(ways), [*keys, "_start"])
+    walked = walked.groupBy(*keys, "_start").applyInArrow(_walk(at, only.names), only)
+    return entered.where("_start is null").select(*keys, at).unionByName(walked)
+
+
+def _chunks(points: DataFrame, keys: list[str], width: int, chunk_max: int) -> DataFrame:
+    """(keys, _cell, _start): the chunk that each gap with times belongs to, by its first gap; null for a gap that is a
+    chunk alone, which one with very many times always is."""
+    cells = points.groupBy(*keys, "_cell").agg(F.count("*").alias("n"))
+    cells = running(cells.withColumn("_slice", slice_of(F.col("_cell"), width)), keys, "_slice", ["_cell"], F.col("n"), "_upto")
+    number = F.floor((F.col("_upto") - F.col("n")) / F.lit(chunk_max))
+    cells = cells.withColumns({"_number": number, "_full": F.col("n") > chunk_max})
+    chunk = Window.partitionBy(*keys, "_number", "_full")
+    start = F.when(F.count("*").over(chunk) > 1, F.min("_cell").over(chunk))
+    return broadcast_if_small(checkpointed(cells.select(*keys, "_cell", start.alias("_start"))))
+
+
+def _entries(at: str) -> Callable[[pa.Table], pa.Table]:
+    """Of one chunk: the times that may be the first taken in it (those of its first gap and the one after), each with the
+    time from which on the next chunks are free."""
+
+    def find(chunk: pa.Table) -> pa.Table:
+        times, gap, start = np.sort(chunk[at].to_numpy()), chunk["_gap"][0].as_py(), chunk["_start"][0].as_py()
+        to = np.searchsorted(times, times + gap)
+        last = np.where(to < len(times), to, np.arange(len(times)))
+        while not np.array_equal(further := last[last], last):
+            last = further
+        n = min(np.searchsorted(times, start + gap) + 1, len(times))
+        found = chunk.drop_columns(["_gap"]).slice(0, n)
+        found = found.set_column(found.column_names.index(at), at, pa.array(times[:n]))
+        return found.append_column("_until", pa.array(times[last[:n]] + gap))
+
+    return find
+
+
+def _walk(at: str, names: list[str]) -> Callable[[pa.Table], pa.Table]:
+    """Of one group: the first time from ``_entry`` on (null: of all), then always the first one at which the one before is over."""
+
+    def take(group: pa.Table) -> pa.Table:
+        order = np.argsort(group[at].to_numpy())
+        times, until = group[at].to_numpy()[order], group["_until"].to_numpy()[order]
+        entry = group["_entry"][0].as_py()
+        to = np.searchsorted(times, until).tolist()
+        taken, i = [], 0 if entry is None else int(np.searchsorted(times, entry))
+        while i < len(times):
+            taken.append(i)
+            i = to[i]
+        found = group.select(names).slice(0, len(taken))
+        return found.set_column(names.index(at), at, pa.array(times[taken]))
+
+    return take
+
+
 def _doubling(points: DataFrame, keys: list[str], at: str, width: int) -> DataFrame:
-    after_gap = F.col(at) + F.col("_gap")
     ranked = checkpointed(
-        counts_at(points.withColumn("_one", F.lit(1)), keys, at, "_one", after_gap, width).select(
+        counts_at(points.withColumn("_one", F.lit(1)), keys, at, "_one", F.col("_until"), width).select(
             *keys, at, F.col("upto").alias("rank"), (F.col("below") + 1).alias("next")
         )
     )

@@ -9,6 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from loomlog.operators import alerts
+from loomlog.operators.spaced import spaced
 from loomlog.sources.rules import load_rules
 
 US = 1_000_000
@@ -110,6 +111,44 @@ def test_random_against_model(spark, logs, seed, path):
     assert fired(spark, logs(events), rules, **path) == model(events, rules)
 
 
+def greedy(points):
+    """(key, at) of every time taken; points: (key, at, gap)."""
+    last, out = {}, []
+    for key, at, gap in sorted(points):
+        if key not in last or at - last[key] >= gap:
+            last[key] = at
+            out.append((key, at))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("bounds", [{"fold_max": 20}, {"fold_max": 150}, {"fold_max": 0}])
+def test_large_groups_are_spaced_by_chunks(spark, bounds):
+    # gaps from one time to a whole group, and a gap that holds more times than a chunk
+    rnd = random.Random(5)
+    gaps = {"a": 50, "b": 7, "c": 1, "d": 5000, "e": 333, "f": 90}
+    points = [
+        (k, at, gap) for k, gap in gaps.items() for at in {rnd.randrange(-500, 6000) for _ in range(rnd.choice([40, 300]))} | set(range(2000, 2080))
+    ]
+    df = spark.createDataFrame(points, "k string, at long, gap long")
+    got = spaced(df, ["k"], "at", "gap", width=100, chunk_max=25, **bounds)
+    assert sorted(tuple(r) for r in got.collect()) == greedy(points)
+
+
+def test_spacing_of_large_groups_takes_no_more_jobs_as_they_grow(spark):
+    # pointers were doubled: a round of joins and checkpoints more each time that twice as many are taken
+    def jobs(n):
+        group = f"spaced-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            df = spark.range(n).selectExpr("'k' k", "id at", "10L gap")
+            assert spaced(df, ["k"], "at", "gap", fold_max=n // 2, chunk_max=n // 10).count() == n // 10
+            return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    assert jobs(8000) <= jobs(400) + 2
+
+
 def test_many_rules_are_dealt_over_salts(spark, logs):
     # 20 000 rules: 4 open, 16 for one level, the others for one service each
     n = F.col("id")
