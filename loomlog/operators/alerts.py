@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomlog.functions.ids import framed_sha1
 from loomlog.functions.text import general_number
 from loomlog.functions.times import seconds_to_us
-from loomlog.operators.slices import SLICE_US, counts_at
+from loomlog.operators.slices import SLICE_US, counts_within
 from loomlog.operators.spaced import FOLD_MAX, spaced
 from loomlog.operators.spread import apart, row_salt, salted
 from loomlog.session import broadcast_if_small
@@ -91,8 +91,7 @@ def _hits(logs: DataFrame, rules: DataFrame) -> DataFrame:
 def window_counts(logs: DataFrame, rules: DataFrame, width: int = SLICE_US) -> DataFrame:
     """(rule, tenant, us, n): matches in [us - window, us] at every instant with a match."""
     hits = _hits(logs, rules)
-    counted = counts_at(hits, ["rule", "tenant"], "us", "hits", F.col("us") - F.col("window_us"), width)
-    return counted.select("rule", "tenant", "us", (F.col("upto") - F.coalesce("below", F.lit(0))).alias("n"))
+    return counts_within(hits, ["rule", "tenant"], "us", "hits", "window_us", width)
 
 
 def candidates(logs: DataFrame, rules: DataFrame, width: int = SLICE_US) -> DataFrame:

@@ -54,6 +54,24 @@ def running(
     return joined.withColumn(out, F.coalesce(both, a, b)).drop("_value", "_inside", "_before")
 
 
+def counts_within(points: DataFrame, keys: list[str], at: str, weight: str, reach: str, width: int = SLICE_US) -> DataFrame:
+    """For each point: ``n``, the weight in [at - reach, at]. (keys, at) must be unique, and
+    ``reach`` is one value per group.
+
+    A weight enters at its time and leaves after the last time that still reaches back to it, so the
+    running sum is the count itself: each row moves once, where the bounds of ``counts_at``
+    must find back to their points. What would leave after all time never does.
+    """
+    steps = F.array(
+        F.struct(F.col(at).alias("pos"), F.lit(0).alias("kind"), F.col(weight).cast("long").alias("w")),
+        # kind 1 sorts after a point at the same time, so that one still counts it
+        F.struct(F.try_add(at, reach).alias("pos"), F.lit(1).alias("kind"), (-F.col(weight).cast("long")).alias("w")),
+    )
+    rows = points.select(*keys, F.explode(steps).alias("_e")).select(*keys, "_e.*").where("pos is not null")
+    summed = running(rows.withColumn("_slice", slice_of(F.col("pos"), width)), keys, "_slice", ["pos", "kind"], F.col("w"), "n")
+    return summed.where("kind = 0").select(*keys, F.col("pos").alias(at), "n")
+
+
 def counts_at(
     points: DataFrame,
     keys: list[str],

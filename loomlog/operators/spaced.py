@@ -92,7 +92,7 @@ def _chunked(points: DataFrame, keys: list[str], at: str, fold_max: int, width:
 def _chunks(points: DataFrame, keys: list[str], width: int, chunk_max: int) -> DataFrame:
     """(keys, _cell, _start): the chunk that each gap with times belongs to, by its first gap; null for a gap that is a
     chunk alone, which one with very many times always is."""
-    cells = points.groupBy(*keys, "_cell").agg(F.count("*").alias("n"))
+    cells = checkpointed(points.groupBy(*keys, "_cell").agg(F.count("*").alias("n")))  # read twice below
     cells = running(cells.withColumn("_slice", slice_of(F.col("_cell"), width)), keys, "_slice", ["_cell"], F.col("n"), "_upto")
     number = F.floor((F.col("_upto") - F.col("n")) / F.lit(chunk_max))
     cells = cells.withColumns({"_number": number, "_full": F.col("n") > chunk_max})

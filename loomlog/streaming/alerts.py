@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomlog.operators.alerts import alert_rows, match_rules, rule_table
-from loomlog.operators.slices import counts_at
+from loomlog.operators.slices import SLICE_US, counts_within
 from loomlog.operators.spaced import spaced
 from loomlog.session import pin_utc
 from loomlog.streaming.parts import Versions
@@ -27,6 +27,8 @@ from loomlog.streaming.sinks import Outbox, append_alerts
 _KEYS = ["rule", "tenant"]
 _HITS = "rule string, tenant string, us long, hits long"
 _FIRED = "rule string, tenant string, us long"
+#: Ten minutes: a batch may reach over years with few events a minute, and a group's slices are put in order by one task.
+_SLICE_US = 10 * SLICE_US
 
 
 class AlertState:
@@ -45,9 +47,8 @@ class AlertState:
         line = self.hits.before(batch_id).unionByName(new.select(*_KEYS, "us", "hits")).join(limits, "rule")
         # a window reaches back over the boundary at most by its own length
         self.hits.write(line.where(F.col("us") >= last - F.col("window_us")).select(*_KEYS, "us", "hits"), batch_id)
-        counted = counts_at(line, _KEYS, "us", "hits", F.col("us") - F.col("window_us")).where(F.col("us") >= first)
-        n = F.col("upto") - F.coalesce("below", F.lit(0))
-        ready = counted.select(*_KEYS, "us", n.alias("n")).join(limits, "rule").where("n >= threshold")
+        counted = counts_within(line, _KEYS, "us", "hits", "window_us", _SLICE_US).where(F.col("us") >= first)
+        ready = counted.join(limits, "rule").where("n >= threshold")
         earlier = self.fired.before(batch_id).join(limits, "rule")
         columns = [*_KEYS, "us", "cooldown_us"]
         taken = spaced(ready.select(*columns).unionByName(earlier.select(*columns)), _KEYS, "us", "cooldown_us").persist()

@@ -9,6 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from loomlog.operators import alerts
+from loomlog.operators.slices import counts_within
 from loomlog.operators.spaced import spaced
 from loomlog.sources.rules import load_rules
 
@@ -201,3 +202,21 @@ def test_recent_and_notification(spark, logs):
     assert rows.where("tenant = 'acme-eu'").select(alerts.notification()).first()[0] == (
         ":rotating_light: r: 1 matching events within 1s (tenant=acme-eu)"
     )
+
+
+@pytest.mark.parametrize("reach", [0, 7, 30, -3, 2**63 - 1])
+def test_counts_within_equal_a_look_at_every_pair(spark, reach):
+    rnd = random.Random(reach % 97)
+    weights = {(k, t): rnd.randint(1, 3) for k in "ab" for t in rnd.sample(range(1, 200), 60)}
+    df = spark.createDataFrame([(k, t, w, reach) for (k, t), w in weights.items()], "k string, at long, w long, reach long")
+    got = {(r.k, r["at"]): r.n for r in counts_within(df, ["k"], "at", "w", "reach", 10).collect()}
+    before = {(k, t): sum(w for (o, s), w in weights.items() if o == k and s <= t) for k, t in weights}
+    gone = {(k, t): sum(w for (o, s), w in weights.items() if o == k and s < t - reach) for k, t in weights}
+    assert got == {key: before[key] - gone[key] for key in weights}
+
+
+def test_window_counts_come_from_the_running_sum_itself(spark, logs):
+    # nothing is grouped by its point again behind the running sum, which would move every hit a second time
+    counted = alerts.window_counts(logs(hits(1, 2, 3)), rules_df(spark, [("r", 2, 1.0, 5.0, None, None)]))
+    assert "Aggregate" not in counted._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert sorted(r.n for r in counted.collect()) == [1, 2, 2]
